@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, html_text, mixing, ogg_media, secret_scan, toxicity, warc_bundles
+from . import chat_format, decontaminate, html_text, mixing, ogg_media, secret_scan, toxicity, warc_bundles
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.contract(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.contract(table(spark, sf_dir, "pages"))
 
@@ -42,11 +46,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_mixing, op3_warc, op4_chat_format, op5_toxicity, op6_html_text, op8_ogg_media, op9_secret_scan)
+    for f in (op1_mixing, op2_decontaminate, op3_warc, op4_chat_format, op5_toxicity, op6_html_text, op8_ogg_media, op9_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.SQL,
+    "op2_decontaminate": decontaminate.SQL,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d FROM p),
