@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_text, mixing, ogg_media, secret_scan, toxicity, warc_bundles
+from . import chat_format, decontaminate, html_text, mixing, ngram_join, ogg_media, secret_scan, toxicity, warc_bundles
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.contract(table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.contract(table(spark, sf_dir, "documents"))
+
+
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.contract(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_mixing, op2_decontaminate, op3_warc, op4_chat_format, op5_toxicity, op6_html_text, op8_ogg_media, op9_secret_scan)
+    for f in (op1_mixing, op2_decontaminate, op3_warc, op4_chat_format, op5_toxicity, op6_html_text, op7_ngram_join, op8_ogg_media, op9_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {
