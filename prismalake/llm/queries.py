@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_text, mixing, ngram_join, ogg_media, secret_scan, toxicity, warc_bundles
+from . import chat_format, decontaminate, html_text, mixing, ngram_join, ogg_media, passage_dedup, secret_scan, toxicity, warc_bundles
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +48,24 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.contract(table(spark, sf_dir, "documents"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.contract(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_mixing, op2_decontaminate, op3_warc, op4_chat_format, op5_toxicity, op6_html_text, op7_ngram_join, op8_ogg_media, op9_secret_scan)
+    for f in (
+        op1_mixing,
+        op2_decontaminate,
+        op3_warc,
+        op4_chat_format,
+        op5_toxicity,
+        op6_html_text,
+        op7_ngram_join,
+        op8_ogg_media,
+        op9_secret_scan,
+        op10_passage_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
