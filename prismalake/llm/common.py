@@ -44,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` computed once, with a broadcast hint if it has at most ``most`` (narrow) rows."""
+    done = cut(df)
+    return F.broadcast(done) if done.count() <= most else done
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows per Arrow batch, for tables with very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -15,6 +15,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import few
+
 #: Fixed masks: 1 looks at a word, 0 ignores it; every place of a window but the first is ignored by one of them.
 MASKS = ("111010011", "110011101", "101101110")
 SPAN = len(MASKS[0])
@@ -79,7 +81,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that overlap no benchmark item; rows without an id are judged as one."""
-    hit = overlaps(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
+    hit = few(overlaps(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct())
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
 
 

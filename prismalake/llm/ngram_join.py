@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, small_batches
+from .common import cut, few, small_batches
 from .components import components
 from .shingles import WIDTH, mix, shingle_set
 
@@ -182,9 +182,7 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
 
 def bearers(docs: DataFrame, kept: DataFrame, width: int = WIDTH) -> DataFrame:
     """(cls, n, point, fine, hashes) of the kept classes, read from the row whose id represents each."""
-    ids = kept.select(F.col("rep").alias("__rep")).distinct()
-    if ids.count() <= MAX_BROADCAST:
-        ids = F.broadcast(ids)
+    ids = few(kept.select(F.col("rep").alias("__rep")).distinct(), MAX_BROADCAST)
     rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__rep"]), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,6 +321,15 @@ def contract(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those that link to a document of a smaller id; rows without id stay."""
-    groups = join(docs).filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["__gone"], "left_anti")
+    """The documents, all columns, one of each group: that with the smallest id.
+
+    Rows that repeat an id and its text are one document; rows without id stay.
+    """
+    found = cut(join(docs).filter("doc_id is not null"))
+    gone = few(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    again = few(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")))
+    if not again.limit(1).count():
+        return kept
+    twice = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(twice)

@@ -313,14 +313,16 @@ def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",)
     small_batches(docs.sparkSession)
     schema = docs.select(*keep).schema.add("score", "double")
     sent, n = lexicon.to_json(), len(keep)
+    at = keep.index(text_col) if text_col in keep else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(Lexicon.from_json(sent))
         for b in batches:
-            scores = pa.array([m.score(t) for t in b.column(n).to_pylist()], pa.float64())
+            scores = pa.array([m.score(t) for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], scores], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    extra = [] if at < n else [F.col(text_col).cast("string").alias("__text")]
+    return docs.select(*keep, *extra).mapInArrow(run, schema)
 
 
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
