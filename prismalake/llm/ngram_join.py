@@ -37,11 +37,17 @@ from .components import components
 from .shingles import WIDTH, mix, shingle_set
 
 #: Groups of the R-tree's points, and of the finer ones that check a pair before its sets are fetched.
-GROUPS, FINE_GROUPS = 64, 512
+GROUPS, FINE_GROUPS = 256, 512
+#: Neighbouring groups are added up to this many for the nodes of a tree and for a first look at a point.
+COARSE = 32
 #: One group count takes a byte; a full byte means "this or more" and bounds nothing.
 FULL = 255
 #: Points of an R-tree leaf, children of a node.
 LEAF, FANOUT = 16, 8
+#: Blocks up to this many classes are compared directly, many blocks at once; larger ones get a tree.
+SMALL_BLOCK = 24
+#: Rows gathered before blocks are compared, and pairs held before they are passed on, so that repeats meet.
+CHUNK_ROWS, HELD_PAIRS = 60_000, 1_000_000
 #: Blocks above this many classes are split by set size, so that only sizes that can link meet.
 LARGE_BLOCK = 512
 #: Ids up to which the set-bearing rows are found by a broadcast; beyond, by a shuffle.
@@ -78,45 +84,92 @@ def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((low == FULL).any(-1), np.iinfo(np.int64).max // 8, low.sum(-1))
 
 
+def coarse(points: np.ndarray) -> np.ndarray:
+    """Points of COARSE groups: sums of neighbouring coordinates; a full byte makes its sum full."""
+    parts = points.reshape(len(points), COARSE, -1)
+    return np.where((parts == FULL).any(-1), 1 << 30, parts.sum(-1, dtype=np.int32)).astype(np.int32)
+
+
+def coarse_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(-1, dtype=np.int64)
+
+
 class RTree:
-    """Points packed by size and by their heaviest coordinates; a node keeps its corner and its sizes."""
+    """Points packed by size and by their most varied coordinate; a node keeps its corner and its sizes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
-        order = np.lexsort((points[:, int(points.astype(np.int64).var(0).argmax())], sizes))
-        self.points, self.sizes, self.order = points[order], sizes[order].astype(np.int64), order
+        rough = coarse(points)
+        order = np.lexsort((rough[:, int(rough.var(0).argmax())], sizes))
+        self.points, self.rough, self.sizes, self.order = points[order], rough[order], sizes[order].astype(np.int64), order
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        corner, small, big, step = self.points, self.sizes, self.sizes, LEAF
+        corner, small, big, step = self.rough, self.sizes, self.sizes, LEAF
         while len(corner) > 1 or not self.levels:
             at = np.arange(0, len(corner), step)
             corner, small, big = np.maximum.reduceat(corner, at), np.minimum.reduceat(small, at), np.maximum.reduceat(big, at)
             self.levels.append((corner, small, big))
             step = FANOUT
 
-    def near(self, k: int) -> np.ndarray:
-        """Places behind k whose point may belong to a set linked with that at k."""
-        p, n = self.points[k], self.sizes[k]
+    def near(self, k: int, comps: np.ndarray) -> np.ndarray:
+        """Places behind k, of other components, whose point may belong to a set linked with that at k."""
+        p, n = self.rough[k], self.sizes[k]
         nodes = np.array([0])
         for depth in range(len(self.levels) - 1, -1, -1):
             corner, small, big = self.levels[depth]
-            ok = (4 * big[nodes] >= 3 * n) & (3 * small[nodes] <= 4 * n) & (7 * bound(corner[nodes], p) >= 3 * (small[nodes] + n))
+            ok = (4 * big[nodes] >= 3 * n) & (3 * small[nodes] <= 4 * n) & (7 * coarse_bound(corner[nodes], p) >= 3 * (small[nodes] + n))
             nodes = nodes[ok]
             if not len(nodes):
                 return nodes
             width, most = (LEAF, len(self.points)) if depth == 0 else (FANOUT, len(self.levels[depth - 1][0]))
             nodes = (nodes[:, None] * width + np.arange(width)).ravel()
             nodes = nodes[nodes < most]
-        nodes = nodes[nodes > k]
-        return nodes[7 * bound(self.points[nodes], p) >= 3 * (self.sizes[nodes] + n)]
+        nodes = nodes[(nodes > k) & (comps[nodes] != comps[k])] if len(nodes) else nodes
+        nodes = nodes[7 * coarse_bound(self.rough[nodes], p) >= 3 * (self.sizes[nodes] + n)]
+        return nodes[7 * bound(self.points[nodes], self.points[k]) >= 3 * (self.sizes[nodes] + n)]
 
 
-def block_pairs(ids: np.ndarray, comps: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of one block that lie in different components and pass the bound."""
+def tree_block(comps: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one block that lie in different components and pass the bound."""
     tree = RTree(points, sizes)
-    ids, comps = ids[tree.order], comps[tree.order]
-    for k in range(len(ids) - 1):
-        for j in tree.near(k):
-            if comps[j] != comps[k]:
-                yield (int(ids[k]), int(ids[j])) if ids[k] < ids[j] else (int(ids[j]), int(ids[k]))
+    comps = comps[tree.order]
+    found = [(k, tree.near(k, comps)) for k in range(len(comps) - 1)]
+    one = np.concatenate([np.full(len(j), k) for k, j in found] or [np.empty(0, np.int64)])
+    two = np.concatenate([j for _, j in found] or [np.empty(0, np.int64)])
+    return tree.order[one], tree.order[two.astype(np.int64)]
+
+
+def small_blocks(start: np.ndarray, length: np.ndarray, ids: np.ndarray, comps: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many small blocks, given by first row and rows."""
+    one, two = [], []
+    for m in np.unique(length):
+        i, j = np.triu_indices(m, 1)
+        at = start[length == m][:, None]
+        one.append((at + i).ravel())
+        two.append((at + j).ravel())
+    if not one:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    one, two = np.concatenate(one), np.concatenate(two)
+    keep = (comps[one] != comps[two]) & (4 * sizes[one] >= 3 * sizes[two]) & (4 * sizes[two] >= 3 * sizes[one])
+    one, two = one[keep], two[keep]
+    fresh = _distinct(*_ordered(ids[one], ids[two]))
+    one, two = one[fresh], two[fresh]
+    ok = [np.empty(0, bool)]
+    for k in range(0, len(one), 50_000):
+        a, b = one[k : k + 50_000], two[k : k + 50_000]
+        ok.append(7 * bound(points[a], points[b]) >= 3 * (sizes[a] + sizes[b]))
+    ok = np.concatenate(ok)
+    return one[ok], two[ok]
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of one row for each different (a, b)."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    return order[new]
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -241,38 +294,52 @@ def tree_pairs(live: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.select("token", F.explode(part).alias("part"), "cls", "comp", "n", "point")
     dealt = rows.repartition("token", "part").sortWithinPartitions("token", "part")
 
+    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (smaller, larger class) of the blocks of whole rows, sorted by block."""
+        token, part, ids, comps, n = (t.column(c).to_numpy() for c in ("token", "part", "cls", "comp", "n"))
+        points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+        start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (part[1:] != part[:-1]))))
+        length = np.diff(np.append(start, len(token)))
+        small = length <= SMALL_BLOCK
+        one, two = small_blocks(start[small], length[small], ids, comps, points, n)
+        out = [_ordered(ids[one], ids[two])]
+        for lo, m in zip(start[~small], length[~small], strict=True):
+            at = slice(lo, lo + m)
+            one, two = tree_block(comps[at], points[at], n[at])
+            out.append(_ordered(ids[at][one], ids[at][two]))
+        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[pa.RecordBatch]) -> set[tuple[int, int]]:
-            t = pa.Table.from_batches(rows)
-            ids, at = np.unique(t.column("cls").to_numpy(), return_index=True)
-            comp, n = t.column("comp").to_numpy()[at], t.column("n").to_numpy()[at]
-            if len(ids) < 2 or (comp == comp[0]).all():
-                return set()
-            p = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)[at]
-            return set(block_pairs(ids, comp, p, n))
-
-        def emit(found: set[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        key, found = None, set()
+        rows: list[pa.RecordBatch] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def unique() -> tuple[np.ndarray, np.ndarray]:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            at = _distinct(a, b)
+            return a[at], b[at]
+
         for b in batches:
-            t, q = b.column("token").to_numpy(), b.column("part").to_numpy()
-            edges = np.flatnonzero((t[1:] != t[:-1]) | (q[1:] != q[:-1])) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(t)], strict=True):
-                now = (t[lo], q[lo])
-                if held and now != key:
-                    found |= pairs(held)
-                    held = []
-                    if len(found) > 50_000:
-                        yield emit(found)
-                        found = set()
-                key = now
-                held.append(b.slice(lo, hi - lo))
+            if not b.num_rows:
+                continue
+            rows.append(b)
+            if sum(r.num_rows for r in rows) < CHUNK_ROWS:
+                continue
+            t = pa.Table.from_batches(rows)
+            token, part = t.column("token").to_numpy(), t.column("part").to_numpy()
+            last = np.flatnonzero((token != token[-1]) | (part != part[-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0  # the last block may go on in the next batch
+            if whole:
+                held.append(compare(t.slice(0, whole)))
+                rows = t.slice(whole).combine_chunks().to_batches()
+                if sum(len(a) for a, _ in held) > HELD_PAIRS:
+                    held = [unique()]
+                    if len(held[0][0]) > HELD_PAIRS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
+                        held = []
+        if rows:
+            held.append(compare(pa.Table.from_batches(rows)))
         if held:
-            found |= pairs(held)
-        if found:
-            yield emit(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unique()], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
