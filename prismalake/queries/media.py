@@ -38,7 +38,7 @@ register("detect_media_type", lambda g: g.photos.select("id", tx.detect_media_ty
 register("media_type_label", lambda g: g.photos.select("id", tx.media_type_label(F.col("media_type")).alias("label")), "SELECT id, ['Other', 'Photo', 'Selfie', 'Panorama', 'Burst', 'Screenshot', 'Document', 'Social', 'Square'][media_type + 1] AS label FROM photos")
 register("sanitize_name", lambda g: g.cities.select("id", tx.sanitize_name(F.col("name")).alias("s")), "SELECT id, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') AS s FROM cities", "cities")
 register("folder_display_name", lambda g: g.photos.filter("relative_path is not null").select("id", tx.folder_display_name(F.col("relative_path")).alias("s")), "SELECT id, split_part(relative_path, '/', -1) AS s FROM photos WHERE relative_path IS NOT NULL")
-register("format_file_size", lambda g: g.photos.select("id", tx.format_file_size(F.col("file_size")).alias("s")), "SELECT id, CASE WHEN file_size <= 0 THEN '0 B' WHEN file_size < 1024 THEN printf('%.1f B', CAST(file_size AS DOUBLE)) WHEN file_size < 1048576 THEN printf('%.1f KB', file_size / 1024.0) ELSE printf('%.1f MB', file_size / 1048576.0) END AS s FROM photos")
+register("format_file_size", lambda g: g.photos.select("id", tx.format_file_size(F.col("file_size")).alias("s")), "SELECT id, CASE WHEN file_size <= 0 THEN '0 B' WHEN file_size < 1024 THEN printf('%.1f B', CAST(file_size AS DOUBLE)) WHEN file_size < 1048576 THEN printf('%.1f KB', round(file_size / 1024.0, 1)) ELSE printf('%.1f MB', round(file_size / 1048576.0, 1)) END AS s FROM photos")
 register("format_number", lambda g: g.photos.select("id", tx.format_number(F.col("file_size")).alias("s")), "SELECT id, format('{:,}', file_size) AS s FROM photos")
 register("normalize_text", lambda g: g.photos.join(g.spark.read.parquet(f"{g.dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text"), "id").select("id", tx.normalize_column()("text").alias("s")), "SELECT doc_id AS id, replace(replace(strip_accents(lower(text)), 'œ', 'oe'), 'æ', 'ae') AS s FROM documents")
 register("format_person_name", lambda g: g.persons.select("id", tx.format_person_name(F.concat(F.lit("  jean-PAUL  "), F.coalesce("name", F.lit("x")))).alias("s")), "SELECT id, 'Jean-PAUL ' || CASE WHEN name IS NULL THEN 'X' ELSE name END AS s FROM persons", "persons")
