@@ -97,10 +97,10 @@ def weighted_centroid(rows: DataFrame, key: str, vector: str, weight: str) -> Da
     pre-aggregated before it is shuffled. Groups of mixed dimensions, or whose
     weights add up to 0 or less, raise; null vectors are left out.
     """
-    at = rows.filter(F.col(vector).isNotNull()).select(key, F.size(vector).alias("dim"), F.col(weight).cast("double").alias("w"), F.posexplode(vector).alias("i", "x"))
-    sums = at.groupBy(key, "i").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("s"), F.sum("w").alias("w"), F.min("dim").alias("lo"), F.max("dim").alias("hi"))
+    at = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("__g"), F.size(vector).alias("dim"), F.col(weight).cast("double").alias("w"), F.posexplode(vector).alias("i", "x"))
+    sums = at.groupBy("__g", "i").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("s"), F.sum("w").alias("w"), F.min("dim").alias("lo"), F.max("dim").alias("hi"))
     ok = F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("embeddings of several dimensions"))).when(F.col("w") <= 0, F.raise_error(F.lit("weights must add up to more than 0"))).otherwise(F.col("s"))
-    parts = sums.withColumn("s", ok).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("p"))
+    parts = sums.withColumn("s", ok).groupBy("__g").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("p"))
     total = F.transform("p", lambda x: x.s)
     size = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x))
-    return parts.select(key, F.when(size > 0, F.transform(total, lambda x: x / size)).otherwise(total).alias("centroid"))
+    return parts.select(F.col("__g").alias(key), F.when(size > 0, F.transform(total, lambda x: x / size)).otherwise(total).alias("centroid"))

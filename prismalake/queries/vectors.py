@@ -163,3 +163,38 @@ register(
 register("nms", lambda g: fc.nms_per_photo(g.faces.withColumn("score", F.col("confidence")), 0.3).select("photo_id", "id"))
 register("to_detected_faces", lambda g: g.faces.select("id", *(r6(c).alias(n) for c, n in zip(detected(), ("l", "t", "r", "b"), strict=True))), "SELECT id, round(least(greatest((box_left * 1000 - 50) / 640, 0), 1), 6) AS l, round(least(greatest((box_top * 1000 - 20) / 480, 0), 1), 6) AS t, round(least(greatest(box_right * 1000 / 640, 0), 1), 6) AS r, round(least(greatest(box_bottom * 1000 / 480, 0), 1), 6) AS b FROM faces", "faces")
 register("embed_source_size", lambda g: g.faces.select("id", fc.embed_source_size(F.col("box_right") - F.col("box_left"), F.lit(1024), F.lit(768), F.lit(112), F.lit(3072)).alias("size")), "WITH p AS (SELECT id, (box_right - box_left) * 768 AS px FROM faces) SELECT id, CAST(CASE WHEN px <= 0 OR 112 / px <= 1 THEN 1024 ELSE least(greatest(trunc(1024 * (112 / px)), 1024), 3072) END AS INT) AS size FROM p", "faces")
+
+
+def search_query(g) -> DataFrame:
+    """A whole search: a person, a month and a word that only names of files have."""
+    from datetime import date
+
+    from ..plans import search
+
+    lib = search.Library(g.photos, g.faces, g.analyses, g.persons, g.cities, g.aliases)
+    return search.search(lib, "IMG january 2024 without person 4", date(2026, 7, 6)).photos
+
+
+def semantic_query(g) -> DataFrame:
+    from datetime import date
+
+    from ..plans import search
+
+    lib = search.Library(g.photos, g.faces, g.analyses, g.persons, g.cities, g.aliases)
+    found = search.search(lib, "sunset january 2024", date(2026, 7, 6), encode=lambda _: query_of(g), floor=-1.0)
+    return found.photos.select("id", F.round("score", 6).alias("score"))
+
+
+JANUARY = "date_taken BETWEEN 1704067200000 AND 1706745599999"
+register("hybrid_search", search_query, f"SELECT id, file_path, file_name, date_added, date_taken, is_favorite FROM photos WHERE NOT is_hidden AND {JANUARY} AND lower(file_name) LIKE '%img%' AND NOT EXISTS (SELECT 1 FROM faces f WHERE f.photo_id = photos.id AND f.person_id = 4 AND f.assignment_type IN ('auto', 'manual'))", "photos faces")
+register("hybrid_search_semantic", semantic_query, f"SELECT photo_id AS id, round({SIM}, 6) AS score FROM photo_analyses WHERE embedding IS NOT NULL AND photo_id IN (SELECT id FROM photos WHERE NOT is_hidden AND {JANUARY}) ORDER BY score DESC, id LIMIT 200", "photo_analyses photos")
+
+
+def new_faces(g) -> DataFrame:
+    from ..plans.faces import State, assign_new_faces
+
+    rows = g.faces.select("id", "photo_id", "embedding", F.col("confidence").alias("quality"), "weight")
+    return assign_new_faces(rows, State())
+
+
+register("assign_new_faces", new_faces)
