@@ -46,6 +46,8 @@ FULL = 255
 LEAF, FANOUT = 16, 8
 #: Blocks up to this many classes are compared directly, many blocks at once; larger ones get a tree.
 SMALL_BLOCK = 24
+#: Tasks over which the blocks of one first class are spread.
+SALTS = 4
 #: Rows gathered before blocks are compared, and pairs held before they are passed on, so that repeats meet.
 CHUNK_ROWS, HELD_PAIRS = 60_000, 1_000_000
 #: Blocks above this many classes are split by set size, so that only sizes that can link meet.
@@ -288,11 +290,12 @@ def size_class(n: str) -> Column:
 def tree_pairs(live: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different components that share a block and pass the bound in its R-tree."""
     labelled = live.join(comps.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("block")).filter("lo <> hi").select("token", "block")
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("block"), F.min("cls").alias("lead")).filter("lo <> hi").select("token", "block", "lead")
     rows = labelled.select("token", "cls", "comp").join(mixed, "token").join(sets.select("cls", "n", "point"), "cls")
     part = F.when(F.col("block") <= LARGE_BLOCK, F.array(F.lit(0).cast("long"))).otherwise(F.array(size_class("n"), size_class("n") + 1))
-    rows = rows.select("token", F.explode(part).alias("part"), "cls", "comp", "n", "point")
-    dealt = rows.repartition("token", "part").sortWithinPartitions("token", "part")
+    # a pair shares many blocks; those with the same first class meet in a few tasks, where its repeats fall away
+    rows = rows.select("token", F.explode(part).alias("part"), "cls", "comp", "n", "point", "lead")
+    dealt = rows.repartition("lead", "part", F.pmod("token", F.lit(SALTS))).drop("lead").sortWithinPartitions("token", "part")
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (smaller, larger class) of the blocks of whole rows, sorted by block."""
