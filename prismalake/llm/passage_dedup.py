@@ -167,7 +167,8 @@ def removed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     small_batches(docs.sparkSession)
     again = cut(repeats(unit_rows(docs)))
     # an Arrow batch may know a nearer copy only; the smallest of a digest's is the one that stays
-    first = again.groupBy("digest").agg(F.min("earlier").alias("kept"))
+    # kept apart from the join below, whose two plain shuffles Spark can then split at a very common digest
+    first = cut(again.groupBy("digest").agg(F.min("earlier").alias("kept")))
     ordinal, words = F.shiftright("place", 24), F.col("place").bitwiseAND(F.lit((1 << 24) - 1))
     start = F.shiftright("span", 32)
     flagged = again.select("digest", "doc_id", "key", ordinal.alias("ordinal"), words.alias("words"), start.alias("start"), (start + F.col("span").bitwiseAND(F.lit((1 << 32) - 1))).alias("end"))
