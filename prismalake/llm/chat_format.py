@@ -10,7 +10,7 @@ Template of a turn::
 
     ### Role: content</turn>
 
-followed by a line break. ``\\`` escapes ``\\``, ``###`` and ``</turn>`` in contents.
+followed by a line break. ``\\`` escapes ``\\``, ``#`` and ``</turn>`` in contents.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 END_TURN, OPEN, CLOSE, FIRST_ROLE = 50257, 50258, 50259, 50260
 ROLES = ("system", "user", "assistant", "tool")
 TURN_END = "</turn>\n"
-_CONTROL = re.compile(r"\\|###|</turn>")
-_ESCAPED = re.compile(r"\\(\\|###|</turn>)")
+_CONTROL = re.compile(r"\\|#|</turn>")
+_ESCAPED = re.compile(r"\\(\\|#|</turn>)")
 LOSS_ROLE = "assistant"
 
 TURNS = (
