@@ -239,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lex
 
     Rows without id, text or label teach nothing; a doc labelled twice counts by
     its largest label. About ``max_train`` rows are read, chosen by a hash. Words
-    are counted by distinct contexts (the words beside them), so a text copied a
+    are counted by distinct contexts (words around them), so a text copied a
     thousand times counts once.
     """
     spark = docs.sparkSession
@@ -262,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lex
     seen = at.select(
         "toxic",
         "word",
-        F.xxhash64(F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1)).alias("context"),
+        F.xxhash64(*(F.get("w", F.col("i") + k) for k in (-4, -1, 1, 4))).alias("context"),
     )
     contexts = seen.groupBy("word", "context").agg(F.max("toxic").alias("t"), F.min("toxic").alias("c"))
     words = cut(
