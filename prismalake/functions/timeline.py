@@ -7,7 +7,6 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def resolve_date_taken(raw: Column, modified: Column) -> Column:
@@ -66,6 +65,3 @@ def viewer_index(photos: DataFrame, start_id: int) -> DataFrame:
     tie = F.col("date_taken").eqNullSafe(F.col("sd")) & (F.col("id") < F.col("si"))
     return photos.join(F.broadcast(start)).agg(F.count_if(later | tie).alias("start_index"))
 
-
-def in_timeline_order() -> W:
-    return W.orderBy(F.desc_nulls_last("date_taken"), "id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import timeline as tl
+from ..functions.ranking import global_rank
 from ..functions.text import escape_like
 from ..operators import photos as ph
 from . import register
@@ -51,7 +52,7 @@ register("visible_photos_paged", lambda g: ph.page(g.photos, 2), f"SELECT {S} FR
 register("visible_photos_keyset", lambda g: ph.page_after(g.photos, JAN20, 10), f"SELECT {S} FROM photos WHERE NOT is_hidden AND (date_taken < {JAN20} OR date_taken IS NULL OR (date_taken = {JAN20} AND id > 10)) {ORDER} LIMIT 80")
 register(
     "timeline_order",
-    lambda g: g.photos.filter(ph.visible()).select("id", F.row_number().over(tl.in_timeline_order()).cast("long").alias("rank")),
+    lambda g: global_rank(g.photos.filter(ph.visible()).select("id", "date_taken"), ph.newest_first()).select("id", "rank"),
     f"SELECT id, row_number() OVER ({ORDER}) AS rank FROM photos WHERE NOT is_hidden",
 )
 register("photos_by_ids", lambda g: ph.with_ids(g.photos, [3, 1, 99999999, 8]).select(*ph.SUMMARY), f"SELECT {S} FROM photos WHERE id IN (3, 1, 99999999, 8)")

@@ -9,14 +9,19 @@ from ..functions import faces as fc
 from ..operators.people import face_pairs
 
 
-def export_face_pairs(faces: DataFrame, persons: DataFrame, path: str) -> None:
-    """All pairs with names, whether they are one person, and similarity; names are quoted."""
+def named_pairs(faces: DataFrame, persons: DataFrame) -> DataFrame:
+    """All pairs with names, whether they are one person, and similarity."""
     names = persons.select("id", "name")
     pairs = face_pairs(faces)
     for side in ("a", "b"):
         pairs = pairs.join(names.select(F.col("id").alias(f"person_{side}"), F.col("name").alias(f"name_{side}")), f"person_{side}", "left")
     cols = ("face_a", "face_b", "person_a", "person_b", "name_a", "name_b", "same_person", "similarity")
-    pairs.select(*cols).write.mode("overwrite").csv(path, header=True, quoteAll=True)
+    return pairs.select(*cols)
+
+
+def export_face_pairs(faces: DataFrame, persons: DataFrame, path: str) -> None:
+    """The pairs as CSV; names are quoted."""
+    named_pairs(faces, persons).write.mode("overwrite").csv(path, header=True, quoteAll=True)
 
 
 def face_metrics(stored: DataFrame, detected: DataFrame) -> DataFrame:

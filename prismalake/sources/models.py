@@ -147,3 +147,8 @@ def activation(models: DataFrame, model_id: int) -> tuple[str, str | None]:
         return "none", None
     what = CONFIRM.get(row.model_type)
     return ("confirm", what) if what else ("activate", None)
+
+
+def storage_sizes(folder: str) -> int:
+    """Bytes of the files below a folder; 0 if there is none."""
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
