@@ -61,7 +61,7 @@ register("exclude_ids", lambda g: ph.with_ids(g.photos, [], negate=True).select(
 register(
     "reorder_by_ids",
     lambda g: ph.reorder_by_ids(g.photos.select("id", "file_name"), g.spark.sql("SELECT posexplode(array(3L, 1L, 99999999L, 2L, 3L)) AS (pos, id)")).select(F.col("pos").cast("long").alias("pos"), "id", "file_name"),
-    "SELECT CAST(p.pos AS BIGINT) AS pos, p.id, f.file_name FROM (VALUES (0, 3), (1, 1), (2, 99999999), (3, 2), (4, 3)) p(pos, id) JOIN photos f ON f.id = p.id",
+    "SELECT CAST(p.pos AS BIGINT) AS pos, CAST(p.id AS BIGINT) AS id, f.file_name FROM (VALUES (0, 3), (1, 1), (2, 99999999), (3, 2), (4, 3)) p(pos, id) JOIN photos f ON f.id = p.id",
 )
 register("paths_and_sizes", lambda g: g.photos.select("id", "file_path", "file_size", "file_last_modified"), "SELECT id, file_path, file_size, file_last_modified FROM photos")
 register("content_uri_for", lambda g: g.photos.select("id", F.concat(F.lit("content://media/external/images/media/"), F.col("id").cast("string")).alias("uri")), "SELECT id, concat('content://media/external/images/media/', CAST(id AS VARCHAR)) AS uri FROM photos")
