@@ -53,6 +53,20 @@ def best_stretch(agree: Column) -> Column:
     return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(agree, s, STRETCH), F.lit(0), lambda a, x: a + x)))
 
 
+def hits_by_shuffle(texts: DataFrame, items: DataFrame, probe: DataFrame) -> DataFrame:
+    """The hits when the benchmark's seeds are too many to broadcast.
+
+    Only hashes and places are shuffled to find them, each (document, item,
+    diagonal) once; words follow afterwards, to documents and items with a hit.
+    """
+    keyed = texts.withColumn("key", F.xxhash64("w"))
+    at = seeds(keyed).select("doc_id", "key", "i", "seed")
+    met = at.join(probe.select("item_id", "j", "item_seed"), F.col("seed") == F.col("item_seed"))
+    found = met.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("item_id").alias("t"), (F.col("i") - F.col("j")).alias("start")).distinct()
+    worded = keyed.dropDuplicates(["doc_id", "key"]).join(found, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    return worded.join(items.distinct(), F.col("item_id").eqNullSafe(F.col("t"))).select("doc_id", "item_id", "start", "w", "b")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row a (doc_id, item_id) with an overlap, its best diagonal's figures.
 
@@ -61,15 +75,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words on the diagonal), stretch (best stretch). Rows that share a doc_id are
     judged together. Null and empty texts, documents and items of fewer words
     than a mask spans give no seeds and so no rows; other columns are ignored.
-    Documents are neither shuffled nor sent to Python; only verified hits are
-    grouped, pre-aggregated where they arise.
+    Up to ``MAX_BROADCAST`` seeds of the benchmark, documents aren't shuffled;
+    only verified hits are grouped, pre-aggregated where they arise.
     """
     items = benchmark.select("item_id", word_hashes("text").alias("b"))
+    texts = docs.select("doc_id", word_hashes("text").alias("w"))
     probe = seeds(items, "b").select("item_id", "b", F.col("i").alias("j"), F.col("seed").alias("item_seed")).distinct()
     if probe.count() <= MAX_BROADCAST:
-        probe = F.broadcast(probe)
-    found = seeds(docs.select("doc_id", word_hashes("text").alias("w"))).join(probe, F.col("seed") == F.col("item_seed"))
-    hits = found.select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start"), "w", "b")
+        found = seeds(texts).join(F.broadcast(probe), F.col("seed") == F.col("item_seed"))
+        hits = found.select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start"), "w", "b")
+    else:
+        hits = hits_by_shuffle(texts, items, probe)
     # agreement is computed behind a generator so that it is computed once a hit
     judged = hits.select("doc_id", "item_id", "start", F.explode(F.array(agreement(F.col("w"), F.col("b"), F.col("start")))).alias("agree"))
     judged = judged.select("doc_id", "item_id", "start", F.size("agree").cast("long").alias("n_words"), F.aggregate("agree", F.lit(0), lambda a, x: a + x).cast("long").alias("matched"), best_stretch(F.col("agree")).cast("long").alias("stretch"))

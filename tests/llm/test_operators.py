@@ -121,7 +121,9 @@ def test_substitutions_are_tolerated(spark):
     assert found[1]["start"] == 9 and found[1]["matched"] == 30 and found[2]["matched"] == 26
 
 
-def test_overlaps_equal_brute_force(spark, data):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_overlaps_equal_brute_force(spark, data, most, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", most)
     docs_, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"], r["start"], r["matched"]) for r in rows(decontaminate.overlaps(docs_, items))}
     bench = {r.item_id: words_of(r.text) for r in items.collect()}
