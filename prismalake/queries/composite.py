@@ -207,8 +207,8 @@ def decoded(g):
 register("unigram_decode", decoded, "SELECT id, file_name AS s FROM photos")
 
 # ---- exports
-register("export_face_pairs_csv", lambda g: exports.named_pairs(g.faces.filter("id < 40"), g.persons).select("face_a", "face_b", "name_a", "name_b", "same_person"), "SELECT a.id AS face_a, b.id AS face_b, p.name AS name_a, q.name AS name_b, a.person_id = b.person_id AS same_person FROM faces a JOIN faces b ON a.id < b.id AND b.id < 40 JOIN persons p ON p.id = a.person_id JOIN persons q ON q.id = b.person_id", "faces persons")
-register("pairwise_faces", lambda g: people.face_pairs(g.faces.filter("id < 40")).select("face_a", "face_b"), "SELECT a.id AS face_a, b.id AS face_b FROM faces a JOIN faces b ON a.id < b.id AND b.id < 40", "faces")
+register("export_face_pairs_csv", lambda g: exports.named_pairs(g.faces, g.persons).select("face_a", "face_b", "name_a", "name_b", "same_person"), "SELECT a.id AS face_a, b.id AS face_b, p.name AS name_a, q.name AS name_b, a.person_id = b.person_id AS same_person FROM faces a JOIN faces b ON a.id < b.id JOIN persons p ON p.id = a.person_id JOIN persons q ON q.id = b.person_id", "faces persons")
+register("pairwise_faces", lambda g: people.face_pairs(g.faces).select("face_a", "face_b"), "SELECT a.id AS face_a, b.id AS face_b FROM faces a JOIN faces b ON a.id < b.id", "faces")
 
 
 def detections(g):

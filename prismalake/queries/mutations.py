@@ -10,7 +10,7 @@ from ..operators import people as pe
 from . import register
 
 P = "id, file_name, file_size"
-NEW = "SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 7000000 END AS id, 'new.jpg' AS file_name, CAST(1 AS BIGINT) AS file_size FROM photos WHERE id < 50"
+NEW = "SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 7000000 END AS id, 'new.jpg' AS file_name, CAST(1 AS BIGINT) AS file_size FROM photos"
 
 
 def base(g):
@@ -18,7 +18,7 @@ def base(g):
 
 
 def incoming(g):
-    return g.photos.filter("id < 50").select((F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(7000000)).cast("long").alias("id"), F.lit("new.jpg").alias("file_name"), F.lit(1).cast("long").alias("file_size"))
+    return g.photos.select((F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(7000000)).cast("long").alias("id"), F.lit("new.jpg").alias("file_name"), F.lit(1).cast("long").alias("file_size"))
 
 
 UPSERT = f"WITH n AS ({NEW}) SELECT {P} FROM photos WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT {P} FROM n"
@@ -27,7 +27,7 @@ register("insert_replace", lambda g: mu.insert_replace(base(g), incoming(g), ["i
 register("insert_ignore", lambda g: mu.insert_ignore(base(g), incoming(g), ["id"]), f"WITH n AS ({NEW}) SELECT {P} FROM photos UNION ALL SELECT {P} FROM n WHERE id NOT IN (SELECT id FROM photos)")
 register("insert_abort", lambda g: mu.insert_abort(base(g), incoming(g).filter("id >= 7000000"), ["id"]), f"WITH n AS ({NEW}) SELECT {P} FROM photos UNION ALL SELECT {P} FROM n WHERE id >= 7000000")
 K = ["photo_id", "analysis_type", "model_name"]
-register("upsert_analyses", lambda g: mu.upsert(g.analyses.select(*K, "text_result"), g.photos.filter("id < 9").select(F.col("id").alias("photo_id"), F.lit("clip_embedding").alias("analysis_type"), F.lit("m1").alias("model_name"), F.lit("t").alias("text_result")), K), "SELECT photo_id, analysis_type, model_name, text_result FROM photo_analyses WHERE photo_id NOT IN (SELECT id FROM photos WHERE id < 9) UNION ALL SELECT id, 'clip_embedding', 'm1', 't' FROM photos WHERE id < 9", "photos photo_analyses")
+register("upsert_analyses", lambda g: mu.upsert(g.analyses.select(*K, "text_result"), g.photos.select(F.col("id").alias("photo_id"), F.lit("clip_embedding").alias("analysis_type"), F.lit("m1").alias("model_name"), F.lit("t").alias("text_result")), K), "SELECT photo_id, analysis_type, model_name, text_result FROM photo_analyses WHERE photo_id NOT IN (SELECT id FROM photos) UNION ALL SELECT id, 'clip_embedding', 'm1', 't' FROM photos", "photos photo_analyses")
 register("delete_by_uris", lambda g: mu.delete_keys(base(g).join(g.photos.select("id", "file_path"), "id"), g.live.select("file_path"), ["file_path"]).select("id"), "SELECT id FROM photos WHERE file_path NOT IN (SELECT file_path FROM live_media)", "photos live_media")
 
 
@@ -76,7 +76,7 @@ register("hide_as_stranger", lambda g: pe.hide_as_stranger(with_centroids(g), g.
 register("reset_face_data", lambda g: pe.reset_face_data(with_centroids(g), g.faces)[0].select("id", "centroid_updated_at"), "SELECT id, CAST(NULL AS BIGINT) AS centroid_updated_at FROM persons", "persons")
 
 # ---- albums
-register("album_membership", lambda g: al.add_photos(g.albums, g.album_photos, g.photos.filter("id < 20").select(F.lit(7).cast("long").alias("album_id"), F.col("id").alias("photo_id"), F.lit(1).cast("long").alias("added_at")), 7)[0].select("id", "photo_count"), "SELECT id, CASE WHEN id = 7 THEN CAST((SELECT count(*) FROM (SELECT photo_id FROM album_photos WHERE album_id = 7 UNION SELECT id FROM photos WHERE id < 20) u) AS INT) ELSE photo_count END AS photo_count FROM albums", "albums album_photos photos")
+register("album_membership", lambda g: al.add_photos(g.albums, g.album_photos, g.photos.select(F.lit(7).cast("long").alias("album_id"), F.col("id").alias("photo_id"), F.lit(1).cast("long").alias("added_at")), 7)[0].select("id", "photo_count"), "SELECT id, CASE WHEN id = 7 THEN CAST((SELECT count(*) FROM (SELECT photo_id FROM album_photos WHERE album_id = 7 UNION SELECT id FROM photos) u) AS INT) ELSE photo_count END AS photo_count FROM albums", "albums album_photos photos")
 register("album_remove_photo", lambda g: al.remove_photo(g.albums, g.album_photos, 7, 12)[1].select("album_id", "photo_id"), "SELECT album_id, photo_id FROM album_photos WHERE NOT (album_id = 7 AND photo_id = 12)", "album_photos")
 register("album_clear", lambda g: al.clear_album(g.albums, g.album_photos, 7)[0].select("id", "photo_count"), "SELECT id, CASE WHEN id = 7 THEN 0 ELSE photo_count END AS photo_count FROM albums", "albums")
 register("get_or_create_folder_album", lambda g: al.get_or_create_folder_album(g.albums, "DCIM/src5", "x", 500, 5).select("id", "folder_path"), "SELECT id, folder_path FROM albums", "albums")

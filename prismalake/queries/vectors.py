@@ -111,8 +111,8 @@ register(
 )
 register(
     "face_pairs",
-    lambda g: pe.face_pairs(g.faces.filter("assignment_type = 'manual'").orderBy("id").limit(60)).select("face_a", "face_b", "same_person", F.round("similarity", 6).alias("similarity")),
-    "WITH f AS (SELECT * FROM faces WHERE assignment_type = 'manual' ORDER BY id LIMIT 60) SELECT a.id AS face_a, b.id AS face_b, a.person_id = b.person_id AS same_person, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM f a JOIN f b ON a.id < b.id",
+    lambda g: pe.face_pairs(g.faces).select("face_a", "face_b", "same_person", F.round("similarity", 6).alias("similarity")),
+    "SELECT a.id AS face_a, b.id AS face_b, a.person_id = b.person_id AS same_person, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM faces a JOIN faces b ON a.id < b.id",
     "faces",
 )
 
