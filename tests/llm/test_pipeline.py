@@ -1,7 +1,14 @@
-"""The pipeline, stage by stage."""
+"""The pipeline, stage by stage and against a plain version of all of it."""
+
+import hashlib
+from collections import defaultdict
+
+import pytest
 
 import corpus_pipeline
-from prismalake.llm import decontaminate, ngram_join, secret_scan
+from prismalake.llm import decontaminate, ngram_join, secret_scan, toxicity
+
+from .test_operators import WORD, brute_components, words_of
 
 
 def test_stages(spark, data):
@@ -19,7 +26,58 @@ def test_stages(spark, data):
     assert secret_scan.contract(docs).filter("n_access + n_hex > 0").count() == 0
 
 
-def test_run(spark, data):
-    got = corpus_pipeline.run(spark, data)
-    assert {"doc_id", "size", "target", "taken"} <= set(got.columns)
-    assert got.count() > 0 and got.filter("taken > 3 * size").count() == 0
+def leaks(text, items):
+    w = words_of(text)
+    for b in items:
+        n = min(len(b), decontaminate.STRETCH)
+        if len(b) < decontaminate.SPAN or len(w) < decontaminate.SPAN:
+            continue
+        for start in range(-len(b) + 1, len(w)):
+            same = [0 <= start + j < len(w) and w[start + j] == x for j, x in enumerate(b)]
+            if sum(same) >= 3 * n / 4 and max(sum(same[s : s + n]) for s in range(len(b) - n + 1)) >= -(-3 * n // 4):
+                return True
+    return False
+
+
+def mixed(docs):
+    """doc_id -> (size, target, taken) by resharing until no source is above its cap."""
+    size = {i: len(WORD.findall(t)) for i, t, _ in docs}
+    by = defaultdict(list)
+    for i, _, s in docs:
+        by[s].append(i)
+    names = sorted(by)
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    total = {s: sum(size[i] for i in by[s]) for s in names}
+    target, open_, left = {}, set(names), float(sum(total.values()))
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > 3 * total[s]}
+        for s in over or open_:
+            target[s] = 3.0 * total[s] if over else weight[s] * level
+            left -= target[s] if over else 0
+        open_ = open_ - over if over else set()
+    out = {}
+    for s in names:
+        at, whole = 0, int(target[s] + 0.5)
+        for i in sorted(by[s], key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            taken = sum(max(0, min(size[i], whole - e * total[s] - at)) for e in range(3))
+            out[i] = (size[i], target[s], taken)
+            at += size[i]
+    return out
+
+
+def test_run_equals_a_plain_version(spark, data):
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    lexicon = toxicity.train(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    matcher = toxicity.Matcher(lexicon)
+    docs = sorted(d for d in docs if matcher.score(d[1]) < 0.5)
+    _, comps = brute_components([t for _, t, _ in docs])
+    docs = [d for k, d in enumerate(docs) if comps[k] == k]
+    items = [words_of(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    docs = [d for d in docs if not leaks(d[1], items)]
+    docs = [(i, secret_scan.redact_text(t), s) for i, t, s in docs]
+    want = mixed(docs)
+    got = {r.doc_id: (r.size, r.target, r.taken) for r in corpus_pipeline.run(spark, data).collect()}
+    assert got.keys() == want.keys()
+    for i, (size, target, taken) in want.items():
+        assert got[i][0] == size and got[i][1] == pytest.approx(target) and got[i][2] == taken
