@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -132,25 +133,40 @@ def unit_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """The unit rows that aren't the first of their digest, with the ``earlier`` document each is a copy of."""
+    """The unit rows that aren't the first of their digest, with the ``earlier`` document each is a copy of.
+
+    Rows come sorted and stream through: a task remembers one row, however many
+    a digest has.
+    """
     where = F.when(F.col("earlier").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "key", "place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        last = None  # digest, doc_id, key, place and keeper of the row before
         for b in batches:
             known = b.column(5).is_valid()
-            yield b.filter(known)
-            rest = b.filter(known.invert()) if hasattr(known, "invert") else b.filter(pa.compute.invert(known))
-            if rest.num_rows:
-                held.append([rest.column(k).fill_null(_EMPTY).to_numpy(zero_copy_only=False) for k in range(5)])
-        if held:
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            order, later, lead = _later(cols)
-            order, lead = order[later], lead[later]
-            if len(order):
-                yield _batch([*(c[order] for c in cols), cols[1][lead]])
-
-    return rows.repartition(where).mapInArrow(run, _SCHEMA)
+            if known.true_count:
+                yield b.filter(known)
+            rest = b.filter(pc.invert(known))
+            if not rest.num_rows:
+                continue
+            cols = [rest.column(k).fill_null(_EMPTY).to_numpy(zero_copy_only=False) for k in range(5)]
+            if last is not None:
+                cols = [np.concatenate(([v], c)) for v, c in zip(last, cols, strict=True)]
+            digest, doc = cols[0], cols[1]
+            new = np.ones(len(digest), bool)
+            new[1:] = digest[1:] != digest[:-1]
+            again = np.zeros(len(digest), bool)  # a repeated row, the same occurrence once more
+            again[1:] = ~new[1:] & np.logical_and.reduce([c[1:] == c[:-1] for c in cols[1:4]])
+            keeper = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+            if last is not None and digest[0] == kept_digest:
+                keeper[: int(np.argmax(new[1:])) + 1 if new[1:].any() else len(keeper)] = kept
+            later = ~new & ~again
+            last, kept, kept_digest = [c[-1] for c in cols], keeper[-1], digest[-1]
+            if later.any():
+                yield _batch([*(c[later] for c in cols), keeper[later]])
+
+    order = ["digest", F.asc_nulls_last("doc_id"), "key", "place"]
+    return rows.repartition(where).sortWithinPartitions(*order).mapInArrow(run, _SCHEMA)
 
 
 def removed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -162,8 +178,6 @@ def removed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ignored. A unit that a large share of all rows has leaves each Arrow batch
     once, so its group stays small.
     """
-    import pyarrow.compute  # noqa: F401  (bound as pa.compute in the tasks)
-
     small_batches(docs.sparkSession)
     again = cut(repeats(unit_rows(docs)))
     # an Arrow batch may know a nearer copy only; the smallest of a digest's is the one that stays
