@@ -48,6 +48,8 @@ LEAF, FANOUT = 16, 8
 SMALL_BLOCK = 24
 #: Tasks over which the blocks of one first class are spread.
 SALTS = 4
+#: Rows (16 bytes each) of one partition while shared hashes are sorted out.
+PARTITION_ROWS = 1_000_000
 #: Rows gathered before blocks are compared, and pairs held before they are passed on, so that repeats meet.
 CHUNK_ROWS, HELD_PAIRS = 60_000, 1_000_000
 #: Blocks above this many classes are split by set size, so that only sizes that can link meet.
@@ -213,8 +215,13 @@ def prefixes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(run, "token long, cls long")
 
 
-def shared_tokens(tokens: DataFrame) -> DataFrame:
-    """(token, cls, df) of the tokens that several classes have; sorted out one shuffle partition at a time."""
+def shared_tokens(tokens: DataFrame, rows: int) -> DataFrame:
+    """(token, cls, df) of the tokens that several classes have.
+
+    A shuffle partition is sorted in memory; ``rows`` (how many there will be)
+    sets the number of partitions, so that one has about PARTITION_ROWS.
+    """
+    parts = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
@@ -232,7 +239,7 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
         keep = df > 1
         yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(cls[keep]), pa.array(df[keep].astype(np.int64))], names=["token", "cls", "df"])
 
-    return tokens.repartition("token").mapInArrow(run, "token long, cls long, df long")
+    return tokens.repartition(parts, "token").mapInArrow(run, "token long, cls long, df long")
 
 
 def bearers(docs: DataFrame, kept: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -360,7 +367,9 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = cut(classes(docs, width))
     known = cut(rows.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep")))
 
-    shared = cut(shared_tokens(prefixes(docs, width)))
+    # a prefix is at most 3/8 of its set and 2 more
+    expected = known.agg(F.sum(F.expr("3 * n div 8 + 2"))).first()[0] or 0
+    shared = cut(shared_tokens(prefixes(docs, width), expected))
     weight = shared.groupBy("cls").agg(F.count("*").alias("shared"), F.sum(F.log(F.col("df").cast("double"))).alias("w"))
     kept = cut(known.join(weight, "cls").filter(F.col("shared") >= F.expr("n div 8 + 1")).select("cls", "n", "rep", F.round(F.col("w") / F.col("n"), 9).alias("z")))
     # a partner may be a quarter smaller and so show fewer hashes: only as many may be left out as its slack allows
