@@ -25,4 +25,4 @@ def register(name: str, build: Callable[[Gallery], DataFrame], sql: str | None =
         ORACLE_SQL[name] = text
 
 
-from . import albums, composite, media, mutations, parser, people, photos, places, vectors  # noqa: E402, F401
+from . import albums, composite, imports, media, mutations, parser, people, photos, places, vectors  # noqa: E402, F401
