@@ -47,7 +47,7 @@ LEAF, FANOUT = 16, 8
 #: Blocks up to this many classes are compared directly, many blocks at once; larger ones get a tree.
 SMALL_BLOCK = 24
 #: Tasks over which the blocks of one first class are spread.
-SALTS = 4
+SALTS = 8
 #: Rows (16 bytes each) of one partition while shared hashes are sorted out.
 PARTITION_ROWS = 1_000_000
 #: Rows gathered before blocks are compared, and pairs held before they are passed on, so that repeats meet.
@@ -302,7 +302,9 @@ def tree_pairs(live: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     part = F.when(F.col("block") <= LARGE_BLOCK, F.array(F.lit(0).cast("long"))).otherwise(F.array(size_class("n"), size_class("n") + 1))
     # a pair shares many blocks; those with the same first class meet in a few tasks, where its repeats fall away
     rows = rows.select("token", F.explode(part).alias("part"), "cls", "comp", "n", "point", "lead")
-    dealt = rows.repartition("lead", "part", F.pmod("token", F.lit(SALTS))).drop("lead").sortWithinPartitions("token", "part")
+    # comparing costs time, not bytes: partitions stay as many as the session asks for
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "lead", "part", F.pmod("token", F.lit(SALTS))).drop("lead").sortWithinPartitions("token", "part")
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (smaller, larger class) of the blocks of whole rows, sorted by block."""
