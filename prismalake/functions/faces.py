@@ -33,13 +33,13 @@ def eye_distance(m: Column) -> Column:
 def yaw_proxy(m: Column) -> Column:
     """Offset of the nose along the eye axis by eye distances; 0 without a distance."""
     ex, ey, nx, ny = _eyes(m)
-    return F.when(eye_distance(m) > 0, (nx * ex + ny * ey) / (ex * ex + ey * ey)).otherwise(0.0)
+    return F.when(eye_distance(m) > 0, (nx * ex + ny * ey) / F.nullif(ex * ex + ey * ey, F.lit(0.0))).otherwise(0.0)
 
 
 def pitch_proxy(m: Column) -> Column:
     """Offset of the nose across the eye axis, 0 for the template's face."""
     ex, ey, nx, ny = _eyes(m)
-    return F.when(eye_distance(m) > 0, (ny * ex - nx * ey) / (ex * ex + ey * ey) - F.lit(TEMPLATE_PITCH)).otherwise(0.0)
+    return F.when(eye_distance(m) > 0, (ny * ex - nx * ey) / F.nullif(ex * ex + ey * ey, F.lit(0.0)) - F.lit(TEMPLATE_PITCH)).otherwise(0.0)
 
 
 def edge_margin(left: Column, top: Column, right: Column, bottom: Column) -> Column:
@@ -47,7 +47,7 @@ def edge_margin(left: Column, top: Column, right: Column, bottom: Column) -> Col
 
 
 def box_aspect(left: Column, top: Column, right: Column, bottom: Column) -> Column:
-    return F.when(bottom - top <= 0, 0.0).otherwise((right - left) / (bottom - top))
+    return F.when(bottom - top <= 0, 0.0).otherwise((right - left) / F.nullif(bottom - top, F.lit(0.0)))
 
 
 def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
@@ -65,7 +65,7 @@ def iou_columns(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     w = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0))
     h = F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0.0))
     union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-    return F.when(union > 0, w * h / union).otherwise(0.0)
+    return F.when(union > 0, w * h / F.nullif(union, F.lit(0.0))).otherwise(0.0)
 
 
 def boxes(prefix: str = "box_") -> tuple[Column, ...]:
@@ -99,8 +99,8 @@ def to_pixels(points: Column, width: Column, height: Column) -> Column:
 
 def embed_source_size(smallest: Column, base: Column, base_width: Column, crop: Column, most: Column) -> Column:
     """Side to decode at so that the smallest face fills the crop, from ``base`` to ``most``."""
-    px = smallest * base_width
-    return F.when((px <= 0) | (crop / px <= 1), base).otherwise(F.least(F.greatest(F.floor(base * (crop / px)), base), most)).cast("int")
+    px = F.nullif(smallest * base_width, F.lit(0.0))
+    return F.when(px.isNull() | (px <= 0) | (crop / px <= 1), base).otherwise(F.least(F.greatest(F.floor(base * (crop / px)), base), most)).cast("int")
 
 
 def face_crop_rect(left: float, top: float, right: float, bottom: float, width: int, height: int, grow: float = 1.5) -> tuple[int, int, int, int]:

@@ -79,15 +79,15 @@ def media_type_label(c: Column) -> Column:
 def detect_media_type(name: Column, path: Column, width: Column, height: Column, make: Column, model: Column) -> Column:
     """Media type from names, then from dimensions and camera; rules in order of precedence."""
     n, p = F.lower(name), F.lower(F.coalesce(path, F.lit("")))
-    ratio = width.cast("float") / height.cast("float")
-    side = F.when(ratio < 1, (F.lit(1.0).cast("float") / ratio)).otherwise(ratio).cast("float")
+    ratio = width.cast("float") / F.nullif(height, F.lit(0)).cast("float")
+    side = F.when(ratio < 1, F.lit(1.0).cast("float") / F.nullif(ratio, F.lit(0.0).cast("float"))).otherwise(ratio).cast("float")
     sized = width.isNotNull() & height.isNotNull() & (width > 0) & (height > 0)
     front = F.coalesce(F.lower(model).contains("front"), F.lit(False))
     return (
         F.when(_any(n, ("screenshot",)) | _any(p, ("screenshots",)), 5)
-        .when(_any(p, ("scan", "office lens",)), 6)
-        .when(_any(p, ("whatsapp", "signal", "telegram",)) | _any(n, ("signal",)), 7)
-        .when(_any(n, ("burst", "_seq_",)), 4)
+        .when(_any(p, ("scan", "office lens")), 6)
+        .when(_any(p, ("whatsapp", "signal", "telegram")) | _any(n, ("signal",)), 7)
+        .when(_any(n, ("burst", "_seq_")), 4)
         .when(sized & (side > F.lit(2.2).cast("float")), 3)
         .when(sized & (side == 1), 8)
         .when(sized & front, 2)

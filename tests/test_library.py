@@ -271,3 +271,14 @@ def test_plans(spark, data):
     assert "LeftSemi" in plan
     top = vectors.top_k(vectors.scored(g.analyses, [0.0] * 64), 5)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in top and "Python" not in top
+
+
+def test_zero_sizes_do_not_divide(spark):
+    from prismalake.functions.text import detect_media_type
+
+    rows = spark.createDataFrame([(0, 0, 0.0), (0, 5, 0.0), (5, 0, 0.0)], "w int, h int, z double")
+    kind = detect_media_type(F.lit("x"), F.lit(None).cast("string"), F.col("w"), F.col("h"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    z = F.col("z")
+    marks = F.array(*[z] * 10)
+    got = rows.select(kind.alias("k"), fc.yaw_proxy(marks).alias("y"), fc.pitch_proxy(marks).alias("p"), fc.box_aspect(z, z, z, z).alias("a"), fc.iou_columns((z, z, z, z), (z, z, z, z)).alias("i"), fc.embed_source_size(z, F.lit(1024), F.lit(768), F.lit(112), F.lit(3072)).alias("s"))
+    assert {tuple(r) for r in got.collect()} == {(0, 0.0, 0.0, 0.0, 0.0, 1024)}
