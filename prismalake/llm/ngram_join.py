@@ -46,8 +46,8 @@ FULL = 255
 LEAF, FANOUT = 16, 8
 #: Blocks up to this many classes are compared directly, many blocks at once; larger ones get a tree.
 SMALL_BLOCK = 24
-#: Tasks over which the blocks of one first class are spread.
-SALTS = 8
+#: Tasks over which the blocks of one first class are spread at least, and the rows from which on it gets more.
+SALTS, SALT_ROWS = 8, 200_000
 #: Rows (16 bytes each) of one partition while shared hashes are sorted out.
 PARTITION_ROWS = 1_000_000
 #: Rows gathered before blocks are compared, and pairs held before they are passed on, so that repeats meet.
@@ -297,14 +297,17 @@ def size_class(n: str) -> Column:
 def tree_pairs(live: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different components that share a block and pass the bound in its R-tree."""
     labelled = live.join(comps.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("block"), F.min("cls").alias("lead")).filter("lo <> hi").select("token", "block", "lead")
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("block"), F.min("cls").alias("lead"))
+    mixed = cut(mixed.filter("lo <> hi").select("token", "block", "lead"))
+    heavy = few(mixed.groupBy("lead").agg(F.ceil(F.sum("block") / SALT_ROWS).cast("long").alias("spread")).filter(F.col("spread") > SALTS))
+    mixed = mixed.join(heavy, "lead", "left").withColumn("salt", F.pmod("token", F.coalesce("spread", F.lit(SALTS).cast("long")))).drop("spread")
     rows = labelled.select("token", "cls", "comp").join(mixed, "token").join(sets.select("cls", "n", "point"), "cls")
     part = F.when(F.col("block") <= LARGE_BLOCK, F.array(F.lit(0).cast("long"))).otherwise(F.array(size_class("n"), size_class("n") + 1))
     # a pair shares many blocks; those with the same first class meet in a few tasks, where its repeats fall away
-    rows = rows.select("token", F.explode(part).alias("part"), "cls", "comp", "n", "point", "lead")
+    rows = rows.select("token", F.explode(part).alias("part"), "cls", "comp", "n", "point", "lead", "salt")
     # comparing costs time, not bytes: partitions stay as many as the session asks for
     parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "lead", "part", F.pmod("token", F.lit(SALTS))).drop("lead").sortWithinPartitions("token", "part")
+    dealt = rows.repartition(parts, "lead", "part", "salt").drop("lead", "salt").sortWithinPartitions("token", "part")
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (smaller, larger class) of the blocks of whole rows, sorted by block."""

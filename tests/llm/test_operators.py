@@ -349,6 +349,7 @@ def test_components_equal_brute_force(spark, small, monkeypatch):
         monkeypatch.setattr(ngram_join, "SMALL_BLOCK", 1)
         monkeypatch.setattr(ngram_join, "LARGE_BLOCK", 2)
         monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 20)
+        monkeypatch.setattr(ngram_join, "SALT_ROWS", 5)
     texts = near_copies()
     sizes, comps = brute_components(texts)
     got = {r["doc_id"]: r for r in rows(ngram_join.contract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)))}
