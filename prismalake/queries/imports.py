@@ -54,7 +54,7 @@ def parsed_aliases(g):
 register("geonames_cities", lambda g: parsed_cities(g).select("id", "name", "country_code", "latitude", "longitude", "population"), "SELECT id, name, country_code, latitude, longitude, population FROM cities", "cities")
 register("geonames_aliases", lambda g: parsed_aliases(g).select("city_id", "alias"), "SELECT city_id, alias FROM city_aliases WHERE city_id IN (SELECT id FROM cities) UNION ALL SELECT id, upper(name) FROM cities", "cities city_aliases")
 register("geonames_fallback_aliases", lambda g: geonames.fallback_aliases(parsed_cities(g)).select("city_id", "alias"), "SELECT id AS city_id, 'Old ' || name AS alias FROM cities", "cities")
-register("alias_dedup", lambda g: geonames.alias_dedup(parsed_aliases(g), g.cities), "SELECT city_id, alias FROM city_aliases WHERE city_id IN (SELECT id FROM cities)", "city_aliases cities")
+register("alias_dedup", lambda g: geonames.alias_dedup(parsed_aliases(g), g.cities), "SELECT CAST(city_id AS BIGINT) AS city_id, alias FROM city_aliases WHERE city_id IN (SELECT id FROM cities)", "city_aliases cities")
 
 
 def imported(g):
