@@ -494,6 +494,32 @@ def test_units_equal_brute_force(spark):
     assert dict(got) == {k: v for k, v in want.items() if v}
 
 
+def test_stretches_inside_units_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    pool = [f"w{k}" if k % 9 else f"é{k}." for k in range(400)]
+    stock = [[rng.choice(pool) for _ in range(n)] for n in (50, 55, 62, 80, 49)]
+    data = [(k, " ".join([*(f"a{k}_{i}" for i in range(rng.randint(0, 30))), *rng.choice(stock), *(f"z{k}_{i}" for i in range(rng.randint(0, 30))), *(rng.choice(stock) if k % 2 else [])])) for k in range(40)]
+    data += [(90, "again and " * 100), (None, " ".join(stock[3][5:70]))]
+    seen, want = {}, defaultdict(set)
+    for i, t in data:
+        w = t.split()
+        for p in range(len(w) - 49):
+            first = seen.setdefault(tuple(w[p : p + 50]), (i, p))
+            if first[0] != i or p - first[1] >= 50:
+                want[i].update(range(p, p + 50))
+    got, texts = defaultdict(set), dict(data)
+    for r in rows(passage_dedup.removed_runs(spark.createDataFrame(data, "doc_id long, text string").repartition(4))):
+        t = texts[r["doc_id"]]
+        at = len(t[: r["start"]].split())
+        assert len(t[r["start"] : r["end"]].split()) == r["n_words"]
+        got[r["doc_id"]].update(range(at, at + r["n_words"]))
+    # runs of whole units of 40 words may go as well
+    assert len(want) > 20 and all(want[i] <= got[i] for i in want)
+    assert got[90] == want[90] == set(range(50, 200)) and got[None] == set(range(65))
+
+
 def test_offsets_are_code_points():
     t = "É à. Ünï côde.\n  漢 字 x"
     _, words, start, end = passage_dedup.units(t)
