@@ -55,38 +55,74 @@ def name_score(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(p.lower(), 0.0) for p in NAME_PART.findall(name)))
 
 
+def _looks(counts: Counter, small: str | None) -> float:
+    n = sum(counts.values())
+    if n < 6 or (small is not None and small.lower() in PLACEHOLDERS) or " " in counts or "\t" in counts:
+        return 0.0
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n)
+    return min(n, 16) / 16 * min(1.0, entropy / 3.0)
+
+
 def literal_score(value: str) -> float:
     """How much a literal looks like key material: length and entropy a character, 0 to 1."""
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or any(c in " \t" for c in value):
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, n / 16) * min(1.0, entropy / 3.0)
+    return _looks(Counter(value), value)
+
+
+class Constant:
+    """An assigned value: its own literals and the earlier constants that it is joined from."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int]] = []
+        self.uses: list[Constant] = []
+        self.counts: Counter = Counter()
+        #: The value itself as long as a stand-in may be as long
+        self.small: str | None = ""
+        self.listed = False
+
+    def _join(self, counts: Counter, small: str | None) -> None:
+        for c, k in counts.items():
+            self.counts[c] += k
+        self.small = None if self.small is None or small is None or len(self.small) + len(small) > 64 else self.small + small
+
+    def literal(self, text: str, start: int, end: int) -> None:
+        self._join(Counter(text[start:end]), text[start:end])
+        self.spans.append((start, end))
+
+    def use(self, other: Constant) -> None:
+        self._join(other.counts, other.small)
+        self.uses.append(other)
+
+    def score(self) -> float:
+        return _looks(self.counts, self.small)
+
+    def list_spans(self, out: set[tuple[int, int]]) -> None:
+        """Add the spans of all literals of the value; each constant is gone through once."""
+        todo = [self]
+        while todo:
+            c = todo.pop()
+            if not c.listed:
+                c.listed = True
+                out.update(s for s in c.spans if s[1] - s[0] >= 3)
+                todo += c.uses
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that the lexer takes for secrets."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    values: dict[str, str] = {}
+    known: dict[str, Constant] = {}
     out: set[tuple[int, int]] = set()
     for m in PAIR.finditer(text):
-        value, spans = "", []
+        value = Constant()
         for t in TERM.finditer(text, m.start("rhs"), m.end("rhs")):
             word = t.group()
             if word[0] in "\"'":
-                value += word[1:-1]
-                spans.append((t.start() + 1, t.end() - 1))
-            else:
-                ref = word.strip("${}")
-                if ref in values:
-                    value += values[ref]
-                    spans += known[ref]
-        if not spans:
+                value.literal(text, t.start() + 1, t.end() - 1)
+            elif word.strip("${}") in known:
+                value.use(known[word.strip("${}")])
+        if not (value.spans or value.uses):
             continue
-        name = m.group("name")
-        values[name], known[name] = value[:4096], spans[:64]
-        if name_score(name) * literal_score(value) >= THRESHOLD:
-            out.update(s for s in spans if s[1] - s[0] >= 3)
+        known[m.group("name")] = value
+        if name_score(m.group("name")) * value.score() >= THRESHOLD:
+            value.list_spans(out)
     return sorted(out)
 
 

@@ -455,6 +455,16 @@ def test_lexer_propagates_constants():
     assert secret_scan.redact_text("clean text") == "clean text" and secret_scan.redact_text(None) is None
 
 
+def test_long_constants_are_whole():
+    part = [f"k{n}Zq7" for n in range(200)]
+    t = "".join(f'a{n} = {f"a{n - 1} + " if n else ""}"{p}"\n' for n, p in enumerate(part)) + "DB_SECRET_VALUE = a199\n"
+    assert [t[a:b] for a, b in secret_scan.lexed(t)] == part
+    t = 'a = "aaaaaa" + "' + "a" * 5000 + '" + "' + "b7Xq91Zk" * 5000 + '"\npwd = a\n'
+    assert len(secret_scan.lexed(t)) == 3
+    t = 'a = "Zx81kQp0"\n' + "a = a + a\n" * 2000 + "pwd = a\n"
+    assert [t[a:b] for a, b in secret_scan.lexed(t)] == ["Zx81kQp0"]
+
+
 # ---- 10
 
 
