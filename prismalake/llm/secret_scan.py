@@ -27,12 +27,17 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the length limit may stand in the pattern
 
-#: A lexed assignment: name, operator, right-hand side of literals and names joined by + or white space-free dots.
+#: A literal or a name; names may hold white space-free dots.
 _TERM = r"(?:\"[^\"\n\\]*(?:\\.[^\"\n\\]*)*\"|'[^'\n\\]*(?:\\.[^'\n\\]*)*'|[A-Za-z_$][A-Za-z0-9_.$\{\}]*)"
-PAIR = re.compile(
-    r"(?<![A-Za-z0-9_.\-])(?P<quote>[\"']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=quote)[ \t]*(?P<op>:=|=>|=|:)[ \t]*"
-    rf"(?P<rhs>{_TERM}(?:[ \t]*\+[ \t]*{_TERM})*)"
-)
+#: A target and its operator. What follows may be a further target of a chain, or a type in front of the operator.
+TARGET = re.compile(r"(?<![A-Za-z0-9_.\-])(?P<quote>[\"']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=quote)[ \t]*(?:=>|:=|=(?![=~])|:)[ \t]*")
+LINK = re.compile(r"(?:&(?:'[a-z]+[ \t]+)?|\*)?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?:\[[^\]\n=]*\]|<[^>\n=]*>|[?!])?(?P<gap>[ \t]*)(?:=>|:=|=(?![=~])|:)[ \t]*")
+RHS = re.compile(rf"{_TERM}(?:[ \t]*\+[ \t]*{_TERM})*")
+#: The end of an unquoted value, and what may follow it if white space may be inside.
+STOP = re.compile(r"[\s;,]|$")
+TAIL = re.compile(r"[ \t]*(?:[;,\r\n#]|$)")
+#: Unquoted code: calls, subscripts, quotes, references.
+CODE = re.compile(r"[\"'`$]|^[A-Za-z_][A-Za-z0-9_.:]*[(\[]|^[&*(\[{<]")
 TERM = re.compile(_TERM)
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -107,22 +112,59 @@ class Constant:
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that the lexer takes for secrets."""
+    """Spans of literals that the lexer takes for secrets.
+
+    Every target of a chain gets its value. Right sides without a literal or a
+    known name are unquoted values, up to white space, ; or , behind a tight
+    ``=``, otherwise up to the end of the line, ; , or a comment; such a value
+    with white space inside isn't key material.
+    """
     known: dict[str, Constant] = {}
     out: set[tuple[int, int]] = set()
-    for m in PAIR.finditer(text):
+
+    def assign(names: list[str], value: Constant) -> None:
+        known.update(dict.fromkeys(names, value))
+        worth = max(map(name_score, names))
+        if worth >= THRESHOLD and worth * value.score() >= THRESHOLD:
+            value.list_spans(out)
+
+    at, stop, over, gone = 0, -1, 0, 0
+    while m := TARGET.search(text, at):
+        heads = [(m["name"], m.end(), text[m.end() - 1] == "=")]
+        while link := LINK.match(text, heads[-1][1]):
+            heads.append((link["name"], link.end(), text[link.end() - 1] == "=" and not link["gap"]))
+        at = heads[-1][1]
         value = Constant()
-        for t in TERM.finditer(text, m.start("rhs"), m.end("rhs")):
-            word = t.group()
-            if word[0] in "\"'":
-                value.literal(text, t.start() + 1, t.end() - 1)
-            elif word.strip("${}") in known:
-                value.use(known[word.strip("${}")])
-        if not (value.spans or value.uses):
+        if rhs := RHS.match(text, at):
+            for t in TERM.finditer(text, at, rhs.end()):
+                word = t.group()
+                if word[0] in "\"'":
+                    value.literal(text, t.start() + 1, t.end() - 1)
+                elif word.strip("${}") in known:
+                    value.use(known[word.strip("${}")])
+        if value.spans or value.uses:
+            at = rhs.end()
+            assign([name for name, _, _ in heads], value)
             continue
-        known[m.group("name")] = value
-        if name_score(m.group("name")) * value.score() >= THRESHOLD:
-            value.list_spans(out)
+        # the targets of a chain with one unquoted value at its end; without white space they are part of the first value
+        names: list[str] = []
+        for k, (name, start, tight) in enumerate(heads):
+            names.append(name)
+            if start > stop:
+                stop = STOP.search(text, start).start()
+            if k + 1 < len(heads) and heads[k + 1][1] > stop:
+                continue
+            end = stop
+            while end > start and text[end - 1] in ")]}" and not any(c in text[start:end] for c in "([{"):
+                end -= 1
+            # inside another unquoted value (a query string) only sensitive targets matter, and none whose value went already
+            inner = m.start() < over and (stop <= gone or max(map(name_score, names)) < THRESHOLD)
+            if not inner and end > start and (tight or TAIL.match(text, stop)) and not CODE.search(text[start:end]):
+                value = Constant()
+                value.literal(text, start, end)
+                assign(names, value)
+                over, gone = stop, stop if value.listed else gone
+            break
     return sorted(out)
 
 
@@ -134,7 +176,7 @@ def scan_text(text: str | None) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if ('"' in text or "'" in text) and ("=" in text or ":" in text):
+    if "=" in text or ":" in text:
         found += [(a, 3, b) for a, b in lexed(text)]
     return sorted(set(found))
 

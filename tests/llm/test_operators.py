@@ -455,6 +455,29 @@ def test_lexer_propagates_constants():
     assert secret_scan.redact_text("clean text") == "clean text" and secret_scan.redact_text(None) is None
 
 
+@pytest.mark.parametrize(
+    "t",
+    [
+        "DB_PWD=@hunter2Xy9Kq81z@\nHOST=a", "credentials: @u8Xk29QqLm4z@\nx: 1", "passphrase=@u8Xk29QqLm4z@; next", "[db]\npwd = @u8Xk29QqLm4z@  # local", "run -e DB_PWD=@u8Xk29QqLm4z@ -e B=1",
+        'db_pwd: str = "@u8Xk29QqLm4z@"', 'const passphrase: string = "@u8Xk29QqLm4z@";', 'a = pwd = "@u8Xk29QqLm4z@"', 'pwd = b = "@u8Xk29QqLm4z@"', 'pwd: Optional[str] = "@u8Xk29QqLm4z@"', "a = pwd = @u8Xk29QqLm4z@\n",
+        "pwd=@QWxhZGRpbjpvcGVu:c2VzYW1l=@", "url=http://h/x?user=bob&pwd=@u8Xk29QqLm4z@", "user: bob pwd: @u8Xk29QqLm4z@", "{pwd: @u8Xk29QqLm4z@}", "A=@u8Xk29QqLm4z@\nDB_PWD=$A", "A=u8Xk29QqLm4z\npwd = os.environ[A]", "pwd: the words of this line", "pwd=${DB_PWD_FROM_OUTSIDE}",
+    ],
+)
+def test_lexer_reads_configuration(t):
+    plain, marks = t.replace("@", ""), [m.start() for m in re.finditer("@", t)]
+    want = [(a - 2 * k, b - 2 * k - 1) for k, (a, b) in enumerate(zip(marks[::2], marks[1::2], strict=True))]
+    assert secret_scan.lexed(plain) == want
+
+
+def test_chains_without_end_are_read_once():
+    import time
+
+    for t in ("pwd:" * 50_000, "a=" * 50_000, "pwd = " * 50_000, "k: v " * 50_000, "a=?" * 50_000, "pwd=?" * 50_000):
+        at = time.time()
+        secret_scan.lexed(t)
+        assert time.time() - at < 20
+
+
 def test_long_constants_are_whole():
     part = [f"k{n}Zq7" for n in range(200)]
     t = "".join(f'a{n} = {f"a{n - 1} + " if n else ""}"{p}"\n' for n, p in enumerate(part)) + "DB_SECRET_VALUE = a199\n"
