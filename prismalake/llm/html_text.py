@@ -113,6 +113,7 @@ def blocks_of(page: str) -> list[tuple[str, float, float, bool]]:
     weights = tag_weights()
     out: list[tuple[str, float, float, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, excludes, is a link
+    n_open: Counter[str] = Counter()  # elements of the stack by name
     n_out = n_link = in_article = in_body = 0
     marked = HAS_ARTICLE.search(page) is not None
     parts: list[str] = []
@@ -152,9 +153,10 @@ def blocks_of(page: str) -> list[tuple[str, float, float, bool]]:
             parts.append(" ")
         tags += weights.get(name, UNKNOWN_TAG) * (INSIDE_SHARE if in_body else 1.0)
         if closing:
-            if any(s[0] == name for s in stack[-64:]):
+            if n_open[name]:
                 while stack:
                     top = stack.pop()
+                    n_open[top[0]] -= 1
                     n_out -= top[1]
                     n_link -= top[2]
                     in_article -= top[0] == "article"
@@ -170,12 +172,13 @@ def blocks_of(page: str) -> list[tuple[str, float, float, bool]]:
         if name in VOID or m.group().endswith("/>"):
             continue
         if name in ("p", "li", "option", "td", "th", "tr", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6"):
-            _close_same(stack, name, counts := [0, 0])
+            _close_same(stack, n_open, name, counts := [0, 0])
             n_out -= counts[0]
             n_link -= counts[1]
         inner = name == "header" and in_article  # an article's own header holds its title
         out_here = excluded(name, m.group(3)) or name == "header" and not inner
         stack.append((name, out_here, name == "a"))
+        n_open[name] += 1
         n_out += out_here
         n_link += name == "a"
         in_article += name == "article"
@@ -184,12 +187,13 @@ def blocks_of(page: str) -> list[tuple[str, float, float, bool]]:
     return out
 
 
-def _close_same(stack: list[tuple[str, bool, bool]], name: str, counts: list[int]) -> None:
+def _close_same(stack: list[tuple[str, bool, bool]], n_open: Counter[str], name: str, counts: list[int]) -> None:
     """Implied end tags: an open paragraph or list item ends where the next begins."""
     limit = {"p": BLOCK - {"p"}, "li": {"ul", "ol", "menu"}}.get(name, {"table", "dl", "div", "article", "section", "body", "select"} - {name})
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] == name:
-            for _, o, link in stack[k:]:
+            for gone, o, link in stack[k:]:
+                n_open[gone] -= 1
                 counts[0] += o
                 counts[1] += link
             del stack[k:]

@@ -286,6 +286,12 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("n", [3, 63, 64, 500])
+def test_excluded_part_with_many_open_tags_ends(n):
+    article = "words of the article " * 20
+    assert html_text.main_text(f"<nav>{'<span><font>menu ' * n}</nav><p>{article}</p>") == article.strip()
+
+
 def test_best_region_is_maximal():
     import random
 
