@@ -17,9 +17,12 @@ Which points meet in one tree:
   frequent of its shared hashes as long as fewer than l are left out. What
   remains are the blocks: the classes that share a hash.
 * Most links of a large group are found by a star: every class is verified
-  against the best connected class of its blocks. Afterwards only blocks that
-  hold several components get an R-tree, and only pairs of different components
-  leave it, so a group of copies never emits all its pairs.
+  against the best connected class of its blocks.
+* Blocks that still hold several components and have the same first class form
+  one group, so that a pair meets once however many hashes it shares. A group is
+  dealt to tasks in units of bounded size (a group, or two tiles of a large one).
+  A unit gets an R-tree, survivors are verified there on the whole sets, and only
+  links that join two components of the unit leave it: fewer than it has rows.
 """
 
 from __future__ import annotations
@@ -44,16 +47,12 @@ COARSE = 32
 FULL = 255
 #: Points of an R-tree leaf, children of a node.
 LEAF, FANOUT = 16, 8
-#: Blocks up to this many classes are compared directly, many blocks at once; larger ones get a tree.
-SMALL_BLOCK = 24
-#: Tasks over which the blocks of one first class are spread at least, and the rows from which on it gets more.
-SALTS, SALT_ROWS = 8, 200_000
-#: Rows (16 bytes each) of one partition while shared hashes are sorted out.
+#: Hashes of the sets in a tile of a large group, and what a row of its own counts besides.
+TILE, ROW_WEIGHT = 1 << 21, 512
+#: Rows (16 bytes each) of one partition while shared hashes are sorted out; also the most that a hash's number of classes is counted to.
 PARTITION_ROWS = 1_000_000
-#: Rows gathered before blocks are compared, and pairs held before they are passed on, so that repeats meet.
-CHUNK_ROWS, HELD_PAIRS = 60_000, 1_000_000
-#: Blocks above this many classes are split by set size, so that only sizes that can link meet.
-LARGE_BLOCK = 512
+#: Hashes looked at to find those that would fill a partition alone.
+SAMPLE_HASHES = 200_000
 #: Ids up to which the set-bearing rows are found by a broadcast; beyond, by a shuffle.
 MAX_BROADCAST = 1_000_000
 
@@ -67,7 +66,8 @@ def prefix_length(n: int) -> int:
     return min(n, n - -(-3 * n // 4) + slack(n))
 
 
-def linked(size_a: int, size_b: int, overlap: int) -> bool:
+def linked(size_a, size_b, overlap):
+    """Whether sets of these sizes and this overlap link."""
     return 7 * overlap >= 3 * (size_a + size_b)
 
 
@@ -113,8 +113,8 @@ class RTree:
             self.levels.append((corner, small, big))
             step = FANOUT
 
-    def near(self, k: int, comps: np.ndarray) -> np.ndarray:
-        """Places behind k, of other components, whose point may belong to a set linked with that at k."""
+    def near(self, k: int, open_: np.ndarray) -> np.ndarray:
+        """Places behind k, among the ``open_`` ones, whose point may belong to a set linked with that at k."""
         p, n = self.rough[k], self.sizes[k]
         nodes = np.array([0])
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -126,54 +126,42 @@ class RTree:
             width, most = (LEAF, len(self.points)) if depth == 0 else (FANOUT, len(self.levels[depth - 1][0]))
             nodes = (nodes[:, None] * width + np.arange(width)).ravel()
             nodes = nodes[nodes < most]
-        nodes = nodes[(nodes > k) & (comps[nodes] != comps[k])] if len(nodes) else nodes
+        nodes = nodes[(nodes > k) & open_[nodes]]
         nodes = nodes[7 * coarse_bound(self.rough[nodes], p) >= 3 * (self.sizes[nodes] + n)]
         return nodes[7 * bound(self.points[nodes], self.points[k]) >= 3 * (self.sizes[nodes] + n)]
 
 
-def tree_block(comps: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of one block that lie in different components and pass the bound."""
-    tree = RTree(points, sizes)
-    comps = comps[tree.order]
-    found = [(k, tree.near(k, comps)) for k in range(len(comps) - 1)]
-    one = np.concatenate([np.full(len(j), k) for k, j in found] or [np.empty(0, np.int64)])
-    two = np.concatenate([j for _, j in found] or [np.empty(0, np.int64)])
-    return tree.order[one], tree.order[two.astype(np.int64)]
-
-
-def small_blocks(start: np.ndarray, length: np.ndarray, ids: np.ndarray, comps: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many small blocks, given by first row and rows."""
-    one, two = [], []
-    for m in np.unique(length):
-        i, j = np.triu_indices(m, 1)
-        at = start[length == m][:, None]
-        one.append((at + i).ravel())
-        two.append((at + j).ravel())
-    if not one:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    one, two = np.concatenate(one), np.concatenate(two)
-    keep = (comps[one] != comps[two]) & (4 * sizes[one] >= 3 * sizes[two]) & (4 * sizes[two] >= 3 * sizes[one])
-    one, two = one[keep], two[keep]
-    fresh = _distinct(*_ordered(ids[one], ids[two]))
-    one, two = one[fresh], two[fresh]
-    ok = [np.empty(0, bool)]
-    for k in range(0, len(one), 50_000):
-        a, b = one[k : k + 50_000], two[k : k + 50_000]
-        ok.append(7 * bound(points[a], points[b]) >= 3 * (sizes[a] + sizes[b]))
-    ok = np.concatenate(ok)
-    return one[ok], two[ok]
-
-
-def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of one row for each different (a, b)."""
-    order = np.lexsort((b, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    return order[new]
+def unit_links(side: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between different components of a unit, as places; none joins what others have joined already.
+
+    Points of one side only meet each other; of two sides only the other one's.
+    Survivors of the tree are verified on the whole sets by the places at which
+    their hashes occur in the unit.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tree = RTree(np.stack([point(s, GROUPS) for s in sets]), sizes)
+    order, sizes = tree.order, tree.sizes
+    side, group = side[order], np.unique(comps[order], return_inverse=True)[1]
+    crossed = bool(side.any())
+    _, hashes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    edge = np.concatenate(([0], np.cumsum(sizes)))
+    owner = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(hashes, kind="stable")]
+    held = np.bincount(hashes)
+    begin = np.cumsum(held) - held
+    found: list[tuple[int, int]] = []
+    for k in range(len(sizes) - 1):
+        near = tree.near(k, (group != group[k]) & ((side != side[k]) | (not crossed)))
+        if not len(near):
+            continue
+        own = hashes[edge[k] : edge[k + 1]]
+        own = own[held[own] > 1]
+        n = held[own]
+        at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        near = near[linked(sizes[near], sizes[k], np.bincount(owner[at], minlength=len(sizes))[near])]
+        joined, first = np.unique(group[near], return_index=True)
+        found += [(int(order[k]), int(order[j])) for j in near[first]]
+        group[np.isin(group, joined)] = group[k]
+    return found
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -183,16 +171,16 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, cls) of every row; cls is null for empty sets."""
+    """(doc_id, text_key, n_shingles, cls) of every row; cls is null for empty sets."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in batches:
                 got = [(len(s), set_id(s) if len(s) else None) for _, s in _sets(b, width)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _ in got], pa.int64()), pa.array([c for _, c in got], pa.int64())], names=["doc_id", "n_shingles", "cls"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([n for n, _ in got], pa.int64()), pa.array([c for _, c in got], pa.int64())], names=["doc_id", "text_key", "n_shingles", "cls"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, cls long")
 
 
 def prefixes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -215,49 +203,96 @@ def prefixes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(run, "token long, cls long")
 
 
-def shared_tokens(tokens: DataFrame, rows: int) -> DataFrame:
-    """(token, cls, df) of the tokens that several classes have.
+def frequent_tokens(docs: DataFrame, expected: int, parts: int, width: int = WIDTH) -> list[int]:
+    """Tokens that would fill one of ``parts`` partitions alone, by a sample of about SAMPLE_HASHES of ``expected`` hashes; about ``parts`` at most.
+
+    They decide how rows are dealt and which tokens count as the most frequent, not what is found.
+    """
+    share = max(1, expected // SAMPLE_HASHES)
+    seen = prefixes(docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), width).groupBy("token").count()
+    return sorted(r.token for r in seen.filter((F.col("count") > 100) & (F.col("count") * parts * share > expected)).select("token").collect())
+
+
+def shared_tokens(tokens: DataFrame, rows: int, frequent: list[int]) -> DataFrame:
+    """(token, cls, df) of the tokens that several classes have, df counted up to PARTITION_ROWS.
 
-    A shuffle partition is sorted in memory; ``rows`` (how many there will be)
-    sets the number of partitions, so that one has about PARTITION_ROWS.
+    Rows stream through sorted, so a task holds at most PARTITION_ROWS of a
+    token, and ``frequent`` tokens, whose df counts as PARTITION_ROWS, are dealt
+    by class. ``rows`` (how many there will be) sets the number of partitions.
     """
-    parts = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
+    parts = token_partitions(tokens, rows)
+    hot = np.array(frequent, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        token, cls = np.concatenate([t for t, _ in got]), np.concatenate([c for _, c in got])
-        order = np.lexsort((cls, token))
-        token, cls = token[order], cls[order]
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls = token[fresh], cls[fresh]
-        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        df = np.diff(np.append(start, len(token)))
-        df = np.repeat(df, df)
-        keep = df > 1
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(cls[keep]), pa.array(df[keep].astype(np.int64))], names=["token", "cls", "df"])
-
-    return tokens.repartition(parts, "token").mapInArrow(run, "token long, cls long, df long")
+        def out(token: np.ndarray, cls: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls), pa.array(df)], names=["token", "cls", "df"])
+
+        none = np.empty(0, np.int64)
+        open_t, open_c, last, full = none, none, None, False  # the last token's rows, its last row, whether it has been passed on already
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+            fresh[0] = last != (token[0], cls[0])
+            same = last is not None and token[0] == last[0]
+            last = (token[-1], cls[-1])
+            token, cls = token[fresh], cls[fresh]
+            if full and same:
+                more = int(np.searchsorted(token, token[0], "right")) if len(token) and token[0] == open_t[0] else 0
+                if more:
+                    yield out(token[:more], cls[:more], np.full(more, PARTITION_ROWS))
+                    token, cls = token[more:], cls[more:]
+                if not len(token):
+                    continue
+            if full:
+                open_t, open_c, full = none, none, False
+            token, cls = np.concatenate([open_t, token]), np.concatenate([open_c, cls])
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            df = np.diff(np.append(start, len(token)))
+            whole = int(start[-1])
+            df = np.repeat(df, df)[:whole]
+            keep = (df > 1) | np.isin(token[:whole], hot)
+            if keep.any():
+                df = np.where(np.isin(token[:whole], hot), PARTITION_ROWS, np.minimum(df, PARTITION_ROWS))
+                yield out(token[:whole][keep], cls[:whole][keep], df[keep])
+            open_t, open_c = token[whole:], cls[whole:]
+            if len(open_t) >= PARTITION_ROWS or open_t[0] in hot:
+                yield out(open_t, open_c, np.full(len(open_t), PARTITION_ROWS))
+                open_t, open_c, full = open_t[:1], open_c[:1], True
+        if not full and len(open_t) > 1:
+            yield out(open_t, open_c, np.full(len(open_t), min(len(open_t), PARTITION_ROWS)))
+
+    key = F.when(F.col("token").isin(frequent), F.xxhash64("token", "cls")).otherwise(F.col("token")) if frequent else F.col("token")
+    return tokens.repartition(parts, key).sortWithinPartitions("token", "cls").mapInArrow(run, "token long, cls long, df long")
+
+
+def token_partitions(df: DataFrame, rows: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
 
 
 def bearers(docs: DataFrame, kept: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(cls, n, point, fine, hashes) of the kept classes, read from the row whose id represents each."""
-    ids = few(kept.select(F.col("rep").alias("__rep")).distinct(), MAX_BROADCAST)
-    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__rep"]), "left_semi").select("text")
+    """(cls, n, fine, hashes) of the kept classes, read from the id and text that represent each."""
+    ids = few(kept.select(F.col("rep.doc_id").alias("__id"), F.col("rep.text_key").alias("__key")), MAX_BROADCAST)
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]) & (F.xxhash64(docs["text"]) == ids["__key"]), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         with np.errstate(over="ignore"):
             for b in batches:
-                s = [x for _, x in _sets(b, width) if len(x)]
+                s = {set_id(x): x for _, x in _sets(b, width) if len(x)}
+                s = {c: x for c, x in s.items() if c not in done}
+                done.update(s)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_id(x) for x in s], pa.int64()), pa.array([len(x) for x in s], pa.int64())]
-                    + [pa.array([f(x) for x in s], pa.binary()) for f in (lambda x: point(x, GROUPS).tobytes(), lambda x: point(x, FINE_GROUPS).tobytes(), lambda x: x.tobytes())],
-                    names=["cls", "n", "point", "fine", "hashes"],
+                    [pa.array(list(s), pa.int64()), pa.array([len(x) for x in s.values()], pa.int64())]
+                    + [pa.array([f(x) for x in s.values()], pa.binary()) for f in (lambda x: point(x, FINE_GROUPS).tobytes(), lambda x: x.tobytes())],
+                    names=["cls", "n", "fine", "hashes"],
                 )
 
-    return rows.mapInArrow(run, "cls long, n long, point binary, fine binary, hashes binary")
+    sets = cut(rows.mapInArrow(run, "cls long, n long, fine binary, hashes binary"))
+    # rows that repeat an id and its text may have come from several tasks
+    return sets if sets.count() == kept.count() else cut(sets.dropDuplicates(["cls"]))
 
 
 def _side(sets: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -294,87 +329,93 @@ def size_class(n: str) -> Column:
     return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("long")
 
 
-def tree_pairs(live: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components that share a block and pass the bound in its R-tree."""
+def groups(live: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(lead, cls, comp, n): the classes of the blocks whose first class is ``lead`` and which hold several components."""
     labelled = live.join(comps.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("block"), F.min("cls").alias("lead"))
-    mixed = cut(mixed.filter("lo <> hi").select("token", "block", "lead"))
-    heavy = few(mixed.groupBy("lead").agg(F.ceil(F.sum("block") / SALT_ROWS).cast("long").alias("spread")).filter(F.col("spread") > SALTS))
-    mixed = mixed.join(heavy, "lead", "left").withColumn("salt", F.pmod("token", F.coalesce("spread", F.lit(SALTS).cast("long")))).drop("spread")
-    rows = labelled.select("token", "cls", "comp").join(mixed, "token").join(sets.select("cls", "n", "point"), "cls")
-    part = F.when(F.col("block") <= LARGE_BLOCK, F.array(F.lit(0).cast("long"))).otherwise(F.array(size_class("n"), size_class("n") + 1))
-    # a pair shares many blocks; those with the same first class meet in a few tasks, where its repeats fall away
-    rows = rows.select("token", F.explode(part).alias("part"), "cls", "comp", "n", "point", "lead", "salt")
-    # comparing costs time, not bytes: partitions stay as many as the session asks for
-    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "lead", "part", "salt").drop("lead", "salt").sortWithinPartitions("token", "part")
-
-    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (smaller, larger class) of the blocks of whole rows, sorted by block."""
-        token, part, ids, comps, n = (t.column(c).to_numpy() for c in ("token", "part", "cls", "comp", "n"))
-        points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
-        start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (part[1:] != part[:-1]))))
-        length = np.diff(np.append(start, len(token)))
-        small = length <= SMALL_BLOCK
-        one, two = small_blocks(start[small], length[small], ids, comps, points, n)
-        out = [_ordered(ids[one], ids[two])]
-        for lo, m in zip(start[~small], length[~small], strict=True):
-            at = slice(lo, lo + m)
-            one, two = tree_block(comps[at], points[at], n[at])
-            out.append(_ordered(ids[at][one], ids[at][two]))
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("lead")).filter("lo <> hi")
+    members = labelled.join(mixed.select("token", "lead"), "token").select("lead", "cls", "comp").distinct()
+    return members.join(sizes.select("cls", "n"), "cls")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[pa.RecordBatch] = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def unique() -> tuple[np.ndarray, np.ndarray]:
-            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            at = _distinct(a, b)
-            return a[at], b[at]
+def units(members: DataFrame) -> DataFrame:
+    """(unit, side, cls, comp, n): the classes that meet in a task.
+
+    A group of up to TILE is a unit of one side. A larger one is cut into tiles
+    by size class, by hash, and by component where one alone fills a tile; a
+    unit is a tile, or two whose sets may link, one a side. Two tiles of the
+    same component never meet, so a group that the star has joined costs its
+    rows times the tiles of what is left.
+    """
+    weight = F.col("n") + ROW_WEIGHT
+    big = few(members.groupBy("lead").agg(F.sum(weight).alias("w")).filter(F.col("w") > TILE).select("lead"))
+    one = F.lit(0).alias("side")
+    small = members.join(big, "lead", "left_anti").select(F.col("lead").cast("string").alias("unit"), one, "cls", "comp", "n")
+    if not big.limit(1).count():
+        return small
+    rows = members.join(big, "lead").withColumn("k", size_class("n"))
+    heavy = rows.groupBy("lead", "k", "comp").agg(F.sum(weight).alias("w")).filter(F.col("w") > TILE).select("lead", "k", "comp", F.lit(True).alias("heavy"))
+    rows = rows.join(heavy, ["lead", "k", "comp"], "left").withColumn("of", F.when(F.col("heavy"), F.col("comp").cast("string")).otherwise(""))
+    stock = rows.groupBy("lead", "k", "of").agg(F.ceil(F.sum(weight) / TILE).cast("long").alias("tiles"))
+    rows = cut(rows.join(stock, ["lead", "k", "of"]).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles"))))
+    tiles = cut(rows.select("lead", "k", "of", "tile").distinct())
+    place = F.struct("k", "of", "tile")
+    left = tiles.select("lead", place.alias("a"))
+    right = tiles.select(F.col("lead").alias("lead_b"), place.alias("b"))
+    near = (F.col("a.k") == F.col("b.k")) & (F.col("a") <= F.col("b")) | (F.col("a.k") + 1 == F.col("b.k"))
+    apart = (F.col("a.of") == "") | (F.col("a.of") != F.col("b.of"))
+    met = left.join(right, (F.col("lead") == F.col("lead_b")) & near & apart)
+    met = met.select("lead", "a", "b", F.concat_ws("/", *(F.col(c).cast("string") for c in ("lead", "a.k", "a.of", "a.tile", "b.k", "b.of", "b.tile"))).alias("unit"))
+    first = met.select("lead", "a.*", "unit", one)
+    second = met.filter("a <> b").select("lead", "b.*", "unit", F.lit(1).alias("side"))
+    dealt = rows.join(first.union(second), ["lead", "k", "of", "tile"])
+    return small.unionByName(dealt.select("unit", "side", "cls", "comp", "n"))
+
+
+def tree_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components that the R-trees of the units find, verified on the whole sets."""
+    work = cut(units(members))
+    held = work.agg(F.sum(F.col("n") + ROW_WEIGHT)).first()[0] or 0
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TILE))
+    dealt = work.drop("n").join(sets.select("cls", "hashes"), "cls").repartition(parts, "unit").sortWithinPartitions("unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: list[tuple]) -> list[tuple[int, int]]:
+            side, ids, comps = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+            return [(ids[x], ids[y]) for x, y in unit_links(side, comps, [np.frombuffer(r[3], np.uint64) for r in rows])]
 
+        unit, rows, found = None, [], []
         for b in batches:
-            if not b.num_rows:
-                continue
-            rows.append(b)
-            if sum(r.num_rows for r in rows) < CHUNK_ROWS:
-                continue
-            t = pa.Table.from_batches(rows)
-            token, part = t.column("token").to_numpy(), t.column("part").to_numpy()
-            last = np.flatnonzero((token != token[-1]) | (part != part[-1]))
-            whole = int(last[-1]) + 1 if len(last) else 0  # the last block may go on in the next batch
-            if whole:
-                held.append(compare(t.slice(0, whole)))
-                rows = t.slice(whole).combine_chunks().to_batches()
-                if sum(len(a) for a, _ in held) > HELD_PAIRS:
-                    held = [unique()]
-                    if len(held[0][0]) > HELD_PAIRS // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
-                        held = []
-        if rows:
-            held.append(compare(pa.Table.from_batches(rows)))
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unique()], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            for u, *row in zip(*(b.column(c).to_pylist() for c in ("unit", "side", "cls", "comp", "hashes")), strict=True):
+                if u != unit:
+                    if rows:
+                        found += links(rows)
+                    unit, rows = u, []
+                rows.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                found = []
+        if rows and (found := links(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
+    return dealt.mapInArrow(run, "a long, b long")
 
-def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id that links reach).
 
-    Null, empty and wordless texts have 0 shingles and link with nothing; their
-    component is their own id. Repeated rows are equal sets. A null doc_id keeps
-    its row; it names a component only where no other id does (then null). Other
-    columns are ignored.
-    """
+def _place() -> Column:
+    """Where a row ranks among those of its class or component."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+
+
+def linked_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``classes``, and (cls, comp, component_id) of every class: comp tells components apart, component_id is the smallest id."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = cut(classes(docs, width))
-    known = cut(rows.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep")))
+    known = cut(rows.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.min(_place()).alias("rep")))
 
     # a prefix is at most 3/8 of its set and 2 more
     expected = known.agg(F.sum(F.expr("3 * n div 8 + 2"))).first()[0] or 0
-    shared = cut(shared_tokens(prefixes(docs, width), expected))
+    frequent = frequent_tokens(docs, expected, token_partitions(docs, expected), width)
+    shared = cut(shared_tokens(prefixes(docs, width), expected, frequent))
     weight = shared.groupBy("cls").agg(F.count("*").alias("shared"), F.sum(F.log(F.col("df").cast("double"))).alias("w"))
     kept = cut(known.join(weight, "cls").filter(F.col("shared") >= F.expr("n div 8 + 1")).select("cls", "n", "rep", F.round(F.col("w") / F.col("n"), 9).alias("z")))
     # a partner may be a quarter smaller and so show fewer hashes: only as many may be left out as its slack allows
@@ -382,38 +423,59 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("cls").orderBy(F.desc("df"), "token"))
     live = shared.join(kept.select("cls", "n", "z"), "cls").withColumn("rank", rank).filter(F.col("rank") > spare)
     live = cut(live.select("token", "cls", "z"))
-    sets = cut(bearers(docs, kept, width))
+    sets = bearers(docs, kept, width)
 
     hub = live.groupBy("token").agg(F.max(F.struct("z", "cls")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("token", F.col("hub.cls").alias("b"))
     star = live.join(hub, "token").filter("cls <> b").groupBy("cls", "b").agg(F.count("*").alias("m"))
     star = star.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("m", "b")).alias("best")).select("a", "best.b")
     first = cut(verified(star, sets))
     inside = components(first)
-    rest = cut(verified(tree_pairs(live.select("token", "cls"), inside, sets), sets))
+    rest = cut(tree_links(cut(groups(live.select("token", "cls"), inside, kept)), sets))
     comps = components(first.union(rest))
 
     named = known.join(comps.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
-    smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(smallest, "comp").select("cls", "component_id")
+    smallest = named.groupBy("comp").agg(F.min("rep.doc_id").alias("component_id"))
+    return rows, named.join(smallest, "comp").select("cls", "comp", "component_id")
+
+
+def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id that links reach).
+
+    Null, empty and wordless texts have 0 shingles and link with nothing; their
+    component is their own id. Very long texts are taken whole. Repeated rows are
+    equal sets, ties don't matter (every link counts), an empty table gives no
+    rows. A null doc_id keeps its row; it names a component only where no other
+    id does (then null). Other columns, whatever their names, are ignored.
+    """
+    rows, by_class = linked_classes(docs, width)
     return rows.join(by_class, "cls", "left").select(
         "doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
 def contract(docs: DataFrame) -> DataFrame:
+    """The rows of ``join``, whose docstring defines nulls, empty and long texts, ties, repeats, empty tables and further columns."""
     return join(docs)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, one of each group: that with the smallest id.
+    """The documents, all columns, one of each group: the row with the smallest id (null last; of its texts that with the smallest hash).
 
-    Rows that repeat an id and its text are one document; rows without id stay.
+    A document is an id with a text: another text of the same id is judged by
+    its own links. Rows that repeat both are one document. Null, empty and
+    wordless texts link with nothing and stay, once an id. Very long texts are
+    compared whole; an empty table stays empty; columns keep their names.
     """
-    found = cut(join(docs).filter("doc_id is not null"))
-    gone = few(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    again = few(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")))
+    rows, by_class = linked_classes(docs)
+    known = cut(rows.join(by_class.select("cls", "comp"), "cls", "left"))
+    first = known.filter("cls is not null").groupBy(F.col("comp").alias("of")).agg(F.min(_place()).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    gone = known.join(first, F.col("comp") == F.col("of")).filter(_place() != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    again = known.groupBy("doc_id", "text_key").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    key = F.xxhash64(docs["text"].cast("string"))
+    same = lambda t: docs["doc_id"].eqNullSafe(t["__id"]) & (key == t["__key"])
+    gone, again = few(gone), few(again)
+    kept = docs.join(gone, same(gone), "left_anti")
     if not again.limit(1).count():
         return kept
-    twice = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(twice)
+    twice = kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same(again), "left_anti").unionByName(twice)

@@ -351,11 +351,12 @@ def near_copies():
 
 @pytest.mark.parametrize("small", [True, False])
 def test_components_equal_brute_force(spark, small, monkeypatch):
-    if not small:  # every block gets a tree and is split by size
-        monkeypatch.setattr(ngram_join, "SMALL_BLOCK", 1)
-        monkeypatch.setattr(ngram_join, "LARGE_BLOCK", 2)
-        monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 20)
-        monkeypatch.setattr(ngram_join, "SALT_ROWS", 5)
+    if not small:  # groups are cut into tiles of a few sets; hashes shared by many are counted to 3 only
+        monkeypatch.setattr(ngram_join, "TILE", 600)
+        monkeypatch.setattr(ngram_join, "ROW_WEIGHT", 1)
+        monkeypatch.setattr(ngram_join, "PARTITION_ROWS", 3)
+        monkeypatch.setattr(ngram_join, "token_partitions", lambda df, rows: 4)
+        monkeypatch.setattr(ngram_join, "frequent_tokens", lambda docs, *_: [r.token for r in ngram_join.prefixes(docs).groupBy("token").count().filter("count > 9").collect()])
     texts = near_copies()
     sizes, comps = brute_components(texts)
     got = {r["doc_id"]: r for r in rows(ngram_join.contract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)))}
@@ -365,6 +366,29 @@ def test_components_equal_brute_force(spark, small, monkeypatch):
     assert kept == set(comps)
 
 
+def test_one_group_of_near_copies(spark, monkeypatch):
+    """Links that leave a unit join components: fewer than its classes, whatever the size of the group."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(base) if rng.random() < 0.05 else w for w in base) for _ in range(300)]
+    sizes, comps = brute_components(texts)
+    seen = {}
+    links = ngram_join.tree_links
+    monkeypatch.setattr(ngram_join, "tree_links", lambda members, sets: seen.setdefault("got", links(seen.setdefault("members", members), sets)))
+    got = {r["doc_id"]: r["component_id"] for r in rows(ngram_join.contract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [got[k] for k in range(300)] == comps and len(set(comps)) > 1
+    assert seen["got"].count() < seen["members"].count()
+
+
+def test_keep_one_keeps_other_texts(spark):
+    a, b, c = ("one two three four five six seven", "alpha beta gamma delta epsilon zeta", "quite another text of seven plain words")
+    data = [(1, a, 0), (4, a, 1), (4, b, 2), (None, b, 3), (None, c, 4), (None, c, 5), (5, "", 6), (5, None, 7), (5, "", 8), (6, a.upper(), 9)]
+    got = sorted(r["n"] for r in rows(ngram_join.keep_one(spark.createDataFrame(data, "doc_id long, text string, n long"))))
+    assert got in ([0, 2, 4, 6, 7], [0, 2, 5, 6, 7], [0, 2, 4, 7, 8], [0, 2, 5, 7, 8])
+
+
 def test_bounds_hold():
     import numpy as np
 
