@@ -25,12 +25,18 @@ REPEATS = 3
 BUCKET_ROWS = 20_000
 
 
-def constant_schedule(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
-    """Flat schedules: sources by code point, null last, weigh ``weights`` in turn."""
+def turning_schedule(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
+    """Schedules whose integrals are ``weights`` in turn, for sources by code point, null last.
+
+    In turn a weight rises from 0 to its double, stays, and falls from its double to 0.
+    """
     rank = F.row_number().over(W.orderBy(F.asc_nulls_last("source"))) - 1
     ranked = sources.select("source").distinct().select("source", rank.alias("k"))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod("k", F.lit(len(weights))).cast("int") + 1)
-    return ranked.select("source", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"), weight.alias("weight"))
+    shape = F.element_at(F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0)), F.pmod("k", F.lit(3)).cast("int") + 1)
+    return ranked.select("source", weight.alias("w"), shape.alias("from"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t")).select(
+        "source", "t", (F.col("w") * (F.col("from") + F.col("t") * (2 - 2 * F.col("from")))).alias("weight")
+    )
 
 
 def integrated(schedule: DataFrame) -> DataFrame:
@@ -86,17 +92,24 @@ def position(offset: Column, target: Column, area: Column, segments: Column) ->
 
 
 def mix(docs: DataFrame, schedule: DataFrame | None = None, repeats: int = REPEATS) -> DataFrame:
-    """Every document with what the mix takes of it, sorted by training position.
+    """Every document with what the mix takes of it, sorted by its first training position.
 
     Columns: doc_id, source, size (words), source_size, target, first (offset of
-    its first word in its source's stream), taken (words, repeats counted),
-    position (of its first use; null if nothing of it is used, those come last).
-    Inside a source documents follow the md5 of their id, so reruns agree.
-    Null texts have size 0, a null source is a source, repeated rows are
-    documents of their own, other columns are ignored; no rows give no rows.
-    A source without a schedule, or with a zero one, is in no row of the result.
+    its first word in its source's stream), taken (words, repeats counted), uses
+    (array of epoch, words, position: the demand is inverted at the offset of
+    every use), position (of the first use; null if nothing is used, those come
+    last). Without a schedule it is ``turning_schedule``. Inside a source
+    documents follow a digest of id and text, so reruns agree; equal ids and null
+    ids spread over all buckets by their texts.
+
+    Null, empty and wordless texts have size 0; very long texts count whole; a
+    null source is a source; repeated rows are documents of their own, whichever
+    comes first; other columns, whatever their names, are ignored; no rows give
+    no rows. A source without a schedule, or with a zero one, is in no row of
+    the result.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    text, known = F.col("text").cast("string"), F.col("doc_id").cast("string")
+    key = F.md5(F.concat_ws("/", F.coalesce(known, F.lit("")), F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit(""))).cast("binary"))
     sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words("text").alias("size"), key.alias("key")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     totals = cut(totals)
@@ -104,7 +117,7 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, repeats: int = REPEA
     digits = 0
     while rows / 16**digits > BUCKET_ROWS:
         digits += 1
-    areas = integrated(constant_schedule(totals) if schedule is None else schedule)
+    areas = integrated(turning_schedule(totals) if schedule is None else schedule)
     planned = targets(totals.select("source", "source_size"), areas, repeats)
 
     placed = sized.withColumn("bucket", F.substring("key", 1, digits))
@@ -117,44 +130,50 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, repeats: int = REPEA
     first = (F.col("start") + F.col("inside")).alias("first")
     joined = joined.select("doc_id", "source", "size", "source_size", "target", "area", "segments", first)
     whole = F.floor(F.col("target") + 0.5)
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), whole - e * F.col("source_size") - F.col("first"))) for e in range(repeats)), F.lit(0))
-    joined = joined.withColumn("taken", taken.cast("long"))
-    at = F.when(F.col("taken") > 0, F.round(position(F.col("first"), F.col("target"), F.col("area"), F.col("segments")), 6))
-    out = joined.select("doc_id", "source", "size", "source_size", "target", "first", "taken", at.alias("position"))
+    offset = lambda e: e * F.col("source_size") + F.col("first")
+    words = lambda e: F.greatest(F.lit(0), F.least(F.col("size"), whole - offset(e))).cast("long")
+    at = lambda e: F.round(position(offset(e), F.col("target"), F.col("area"), F.col("segments")), 6)
+    use = lambda e: F.when(words(e) > 0, F.struct(F.lit(e).alias("epoch"), words(e).alias("words"), at(e).alias("position")))
+    joined = joined.withColumn("uses", F.array_compact(F.array(*map(use, range(repeats)))))
+    taken = F.aggregate("uses", F.lit(0).cast("long"), lambda n, u: n + u.words)
+    out = joined.select("doc_id", "source", "size", "source_size", "target", "first", taken.alias("taken"), "uses", F.get("uses", F.lit(0)).position.alias("position"))
     return out.orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
-def placements(mixed: DataFrame, repeats: int = REPEATS) -> DataFrame:
-    """A row for each use of a document under flat schedules: epoch, words and position; the training order."""
-    whole = F.floor(F.col("target") + 0.5)
-    words = lambda e: F.greatest(F.lit(0), F.least(F.col("size"), whole - e * F.col("source_size") - F.col("first")))
-    uses = mixed.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("epoch")).withColumn("words", words(F.col("epoch")))
-    at = (F.col("epoch") * F.col("source_size") + F.col("first")) / F.col("target")
-    return uses.filter("words > 0").select("doc_id", "source", "epoch", "words", at.alias("position")).orderBy("position", "doc_id")
+def placements(mixed: DataFrame) -> DataFrame:
+    """The training order: a row for each use of a document (epoch, words, position), range-sorted by position."""
+    uses = mixed.select("doc_id", "source", F.inline("uses"))
+    return uses.orderBy("position", "doc_id", "epoch")
 
 
 def contract(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    """A row a document of ``mix``, whose docstring defines nulls, empty and long texts, ties, repeats, empty tables and further columns."""
+    use = lambda e: F.get("uses", F.lit(e)).position
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position", *(use(e).alias(f"position_{e + 1}") for e in range(1, REPEATS)))
 
 
-#: DuckDB SQL of ``contract`` over a relation named documents.
+#: DuckDB SQL of ``contract`` over a relation named documents. Demand inverted by hand: a root for a rising weight, the
+#: share itself for a flat one, one less the root of the rest for a falling one.
 SQL = r"""
     WITH d AS (
       SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-             md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+             md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(md5(text), '')) AS key FROM documents),
     s AS (
       SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * sum(size) AS cap,
              CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY source),
     l AS (
       SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
-    t AS (SELECT source, source_size, least(w * max(level) OVER (), CAST(cap AS DOUBLE)) AS target FROM l),
+    t AS (SELECT source, w, source_size, least(w * max(level) OVER (), CAST(cap AS DOUBLE)) AS target FROM l),
     o AS (
-      SELECT d.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS whole,
+      SELECT d.*, t.w, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS whole,
              CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS f
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
     k AS (
-      SELECT *, CAST(greatest(0, least(size, whole - f)) + greatest(0, least(size, whole - source_size - f))
-             + greatest(0, least(size, whole - 2 * source_size - f)) AS BIGINT) AS taken FROM o)
-    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
-           CASE WHEN taken > 0 THEN round(f / target, 6) END AS position FROM k"""
+      SELECT *, greatest(0, least(size, whole - f)) AS n1, greatest(0, least(size, whole - source_size - f)) AS n2,
+             greatest(0, least(size, whole - 2 * source_size - f)) AS n3,
+             f / target AS a1, (source_size + f) / target AS a2, (2 * source_size + f) / target AS a3 FROM o)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(n1 + n2 + n3 AS BIGINT) AS taken,
+           CASE WHEN n1 > 0 THEN round(CASE w WHEN 1 THEN sqrt(a1) WHEN 2 THEN a1 ELSE a1 / (1 + sqrt(1 - a1)) END, 6) END AS position,
+           CASE WHEN n2 > 0 THEN round(CASE w WHEN 1 THEN sqrt(a2) WHEN 2 THEN a2 ELSE a2 / (1 + sqrt(1 - a2)) END, 6) END AS position_2,
+           CASE WHEN n3 > 0 THEN round(CASE w WHEN 1 THEN sqrt(a3) WHEN 2 THEN a3 ELSE a3 / (1 + sqrt(1 - a3)) END, 6) END AS position_3 FROM k"""

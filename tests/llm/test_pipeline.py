@@ -42,6 +42,7 @@ def leaks(text, items):
 def mixed(docs):
     """doc_id -> (size, target, taken) by resharing until no source is above its cap."""
     size = {i: len(WORD.findall(t)) for i, t, _ in docs}
+    key = {i: hashlib.md5(f"{i}/{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest() for i, t, _ in docs}
     by = defaultdict(list)
     for i, _, s in docs:
         by[s].append(i)
@@ -59,7 +60,7 @@ def mixed(docs):
     out = {}
     for s in names:
         at, whole = 0, int(target[s] + 0.5)
-        for i in sorted(by[s], key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        for i in sorted(by[s], key=key.get):
             taken = sum(max(0, min(size[i], whole - e * total[s] - at)) for e in range(3))
             out[i] = (size[i], target[s], taken)
             at += size[i]
