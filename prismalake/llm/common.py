@@ -7,6 +7,7 @@ lineage, so a lost executor never takes the only copy of a result with it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 #: What counts as white space between words; every other character belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of text per Arrow batch: long documents make batches large, so the count stays low.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, whatever the number and length of its texts; one longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and driver and executors are one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="prismalake-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -51,8 +55,10 @@ def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows per Arrow batch, for tables with very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the bytes of the session's Arrow batches; the same bound for every operator, as plans run later than they are built."""
+    now = re.match(r"(\d+)b?$", spark.conf.get(_BYTES_CONF))
+    if now is None or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(_BYTES_CONF, str(BATCH_BYTES))
 
 
 def map_rows(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: str) -> DataFrame:
