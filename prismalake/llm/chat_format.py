@@ -11,23 +11,28 @@ Template of a turn::
     ### Role: content</turn>
 
 followed by a line break. ``\\`` escapes ``\\``, ``#`` and ``</turn>`` in contents.
+Other roles than the known ones stand in quotation marks, which are escaped
+inside them, so the formatted text alone tells every role and content.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, small_batches
 
+#: Read on the driver and sent to the executors, which need no such folder.
 TOKENIZER_DIR = "/opt/tokenizers"
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Fixed pre-tokenisation pattern of that vocabulary.
@@ -37,7 +42,8 @@ END_TURN, OPEN, CLOSE, FIRST_ROLE = 50257, 50258, 50259, 50260
 ROLES = ("system", "user", "assistant", "tool")
 TURN_END = "</turn>\n"
 _CONTROL = re.compile(r"\\|#|</turn>")
-_ESCAPED = re.compile(r"\\(\\|#|</turn>)")
+_ESCAPED = re.compile(r"\\(\\|#|</turn>|\")")
+_HEADER = re.compile(r'### (?:(System|User|Assistant|Tool)|"((?:[^"\\]|\\.)*)"): ', re.S)
 LOSS_ROLE = "assistant"
 
 TURNS = (
@@ -54,17 +60,34 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def ranks(spark: SparkSession, folder: str = TOKENIZER_DIR) -> Broadcast:
+    """The vocabulary file (about a megabyte) sent to the executors; read here if the driver has it, else through Spark."""
+    path = f"{folder}/{RANKS_FILE}"
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            return spark.sparkContext.broadcast(f.read())
+    return spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(path).select("content").first().content))
+
+
 @lru_cache(maxsize=4)
-def encoder(folder: str):
+def encoder(content: bytes):
     import tiktoken
 
-    with open(f"{folder}/{RANKS_FILE}", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("turns", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+    return tiktoken.Encoding("turns", pat_str=PATTERN, mergeable_ranks=got, special_tokens={})
 
 
 def header_text(role: str) -> str:
-    return f"### {escape(role).capitalize() if role in ROLES else escape(role)}: "
+    return f"### {role.capitalize()}: " if role in ROLES else '### "{}": '.format(escape(role).replace('"', '\\"'))
+
+
+def read_text(formatted: str) -> tuple[str, str]:
+    """Role and content of a formatted turn."""
+    m = _HEADER.match(formatted)
+    if m is None or not formatted.endswith(TURN_END):
+        raise ValueError("no formatted turn")
+    role = m[1].lower() if m[1] else unescape(m[2])
+    return role, unescape(formatted[m.end() : -len(TURN_END)])
 
 
 def header_ids(role: str, enc) -> list[int]:
@@ -97,14 +120,17 @@ def read_turn(tokens: list[int], enc) -> tuple[str, str]:
 def format_turns(conversations: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """A row a turn, in order inside each conversation: formatted text, ids, loss intervals.
 
-    Rows of a conversation go to one task and are sorted there by (turn, role,
-    text); they stream through, so a conversation of any length takes the memory
-    of one batch. Null texts and roles are empty, null turns come first, a null
-    conv_id is a conversation of its own, repeated rows are repeated turns.
+    Rows of a conversation go to one task, as the order of its turns and the
+    digest over them ask for, and are sorted there by (turn, role, text); they
+    stream through, so a conversation of any length takes the memory of one
+    batch. Null texts and roles are empty, null turns come first, a null conv_id
+    is a conversation of its own, repeated rows are repeated turns, ties of a
+    turn go by role and text, very long texts are whole, an empty table has no
+    turns; other columns, whatever their names, are ignored.
     """
     spark = conversations.sparkSession
     small_batches(spark)
-    schema = _arrow_schema(spark, TURNS)
+    schema, vocabulary = _arrow_schema(spark, TURNS), ranks(spark, tokenizer_dir)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -113,7 +139,7 @@ def format_turns(conversations: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last, seq = encoder(tokenizer_dir), object(), 0
+        enc, last, seq = encoder(vocabulary.value), object(), 0
         for b in batches:
             out: list[list] = [[] for _ in schema]
             for conv, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
@@ -138,10 +164,10 @@ def digest_turns(turns: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFr
     Roles and texts come from the token ids, loss text from the ids under the
     mask; the formatted text must say the same.
     """
-    schema = _arrow_schema(turns.sparkSession, DIGESTS)
+    schema, vocabulary = _arrow_schema(turns.sparkSession, DIGESTS), ranks(turns.sparkSession, tokenizer_dir)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, now = encoder(tokenizer_dir), None
+        enc, now = encoder(vocabulary.value), None
 
         def close(s: dict) -> tuple:
             return s["conv"], s["n"], s["turns"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["formatted"], s["tokens"], s["loss_tokens"]
@@ -154,8 +180,7 @@ def digest_turns(turns: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFr
                         done.append(close(now))
                     now = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "chars": 0, "formatted": 0, "tokens": 0, "loss_tokens": 0}
                 role, text = read_turn(ids, enc)
-                head = header_text(role)
-                if not formatted.startswith(head) or unescape(formatted[len(head) : -len(TURN_END)]) != text:
+                if read_text(formatted) != (role, text):
                     raise ValueError(f"turn {seq} of conversation {conv} reads back differently")
                 now["n"] += 1
                 now["turns"].update(f"{role}\n{text}\n".encode())
@@ -179,7 +204,7 @@ TRICKY = "\\### Assistant: </turn> ok"
 
 
 def contract(conversations: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """Digests of all conversations and of conversation -7."""
+    """Digests of all conversations and of conversation -7; ``format_turns`` defines nulls, empty and long texts, ties, repeats, empty tables and further columns."""
     extra = conversations.sparkSession.createDataFrame(
         [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string"
     )

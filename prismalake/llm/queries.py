@@ -84,11 +84,12 @@ ORACLE_SQL: dict[str, str] = {
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
           UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-        e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '\</turn>') AS safe FROM c)
+        e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '\</turn>') AS safe,
+              CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN role ELSE '"' || replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '\</turn>'), '"', '\"') || '"' END AS name FROM c)
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-               CAST(sum(length('### ') + length(role) + length(': ') + length(safe) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+               CAST(sum(length('### ') + length(name) + length(': ') + length(safe) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
 }
