@@ -21,20 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, few, small_batches
 
 #: Labelled rows that training reads at most (expected; rows are chosen by a hash of their id).
 MAX_TRAIN = 20_000
-#: Terms the lexicon holds at most, best supported first.
-MAX_TERMS = 4_000
 #: Different contexts in toxic texts that a term needs at least (more if chance would give a word of the vocabulary
 #: as many), and the odds ratio it must reach.
 MIN_SUPPORT, MIN_ODDS = 3, 20.0
 CHANCE = 0.05
-#: Clean words near terms that are remembered at most, most frequent first.
-MAX_CLEAN = 50_000
 STEM_LENGTHS = (4, 5, 6)
 WINDOW = 8
+#: Words before or behind a hit among which a reporting word counts, and neighbours of a term that have to differ.
+REPORTED_WITHIN, NEIGHBOURS = 3, (-4, -1, 1, 4)
 
 #: A word: letters and digits with the signs that stand for letters in disguised words.
 WORD = re.compile(r"[^\W_]+(?:[@$!*'][^\W_]+)*")
@@ -217,10 +215,13 @@ class Matcher:
             if w in hits:
                 p = hits[w]
                 near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-                if any(x in SECOND_PERSON for x, _, _ in near):
+                addressed = any(x in SECOND_PERSON for x, _, _ in near)
+                if addressed:
                     p = min(0.99, p * ABUSE_SHARE)
-                if self._in_quotation(lower, near[0][1], a, b, near[-1][2]) or any(x in REPORTING for x, _, _ in near):
+                if self._in_quotation(lower, near[0][1], a, b, near[-1][2]):
                     weak = max(weak, p * QUOTED_SHARE)
+                elif not addressed and any(x in REPORTING for x, _, _ in words[max(0, i - REPORTED_WITHIN) : i + REPORTED_WITHIN + 1]):
+                    clear *= 1.0 - p * QUOTED_SHARE  # one report is weak, a text full of them isn't
                 elif p < 0.5:
                     weak = max(weak, p)  # many doubtful hits don't add up to a clear one
                 else:
@@ -240,7 +241,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lex
     Rows without id, text or label teach nothing; a doc labelled twice counts by
     its largest label. About ``max_train`` rows are read, chosen by a hash. Words
     are counted by distinct contexts (words around them), so a text copied a
-    thousand times counts once.
+    thousand times counts once; a term must also have as many different words at
+    each of the places around it, which near copies of one text don't show.
+    Terms and near words are as many as the bounded sample has, without a cap of
+    their own. Empty tables teach nothing.
     """
     spark = docs.sparkSession
     known = (
@@ -259,11 +263,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lex
     rows = texts.join(sample, "id").filter("text is not null")
     tokens = rows.select("id", "toxic", F.regexp_extract_all(F.lower("text"), F.lit(f"({LETTERS})"), 1).alias("w"))
     at = tokens.select("toxic", "w", F.posexplode("w").alias("i", "word"))
-    seen = at.select(
-        "toxic",
-        "word",
-        F.xxhash64(*(F.get("w", F.col("i") + k) for k in (-4, -1, 1, 4))).alias("context"),
-    )
+    around = [F.get("w", F.col("i") + k) for k in NEIGHBOURS]
+    seen = at.select("toxic", "word", F.xxhash64(*around).alias("context"))
     contexts = seen.groupBy("word", "context").agg(F.max("toxic").alias("t"), F.min("toxic").alias("c"))
     words = cut(
         contexts.groupBy("word").agg(
@@ -275,12 +276,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lex
     least = max(MIN_SUPPORT, math.ceil(math.log(CHANCE / max(1, sums[2])) / math.log(n_t / (n_t + n_c))))
     odds = ((F.col("t") + 0.5) / n_t) / ((F.col("c") + 0.5) / n_c)
     strong = (F.col("t") >= least) & (odds >= MIN_ODDS) & (F.col("c") <= 0.02 * F.col("t"))
-    terms = words.filter(strong & (F.length("word") >= 4)).orderBy(F.desc("t"), "word").limit(MAX_TERMS).collect()
+    likely = cut(words.filter(strong & (F.length("word") >= 4)))
+    differ = [F.count_distinct(F.coalesce(x, F.lit(""))).alias(f"n{k}") for k, x in enumerate(around)]
+    met = at.filter("toxic = 1").join(few(likely.select("word")), "word").groupBy("word").agg(*differ)
+    terms = likely.join(met.filter(F.least(*(f"n{k}" for k in range(len(differ)))) >= least).select("word"), "word").collect()
     heads = words.filter(F.length("word") > min(STEM_LENGTHS)).select(
         F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, STEM_LENGTHS)), lambda k: F.substring("word", F.lit(1), k)))).alias("word"), "t", "c"
     )
     stems = heads.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("n"), F.sum((F.col("t") > 1).cast("int")).alias("n2"))
-    stems = stems.filter(strong & (F.length("word") >= 4) & (F.col("n2") >= 4) & (F.col("t") >= 2 * least)).orderBy(F.desc("t"), "word").limit(MAX_TERMS).collect()
+    stems = stems.filter(strong & (F.length("word") >= 4) & (F.col("n2") >= 4) & (F.col("t") >= 2 * least)).collect()
     prob = lambda r: round((r.t + 0.5) / (r.t + 20 * r.c + 1.0), 4)
     lexicon = Lexicon({r.word: prob(r) for r in terms}, {r.word: prob(r) for r in stems}, prior=0.1)
     if lexicon.terms:
@@ -300,16 +304,19 @@ def _learn_near(words: DataFrame, lexicon: Lexicon) -> None:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
 
-    near = words.mapInArrow(run, "word string, t long, c long, term string, e int").cache()
-    lexicon.clean = {r.word for r in near.filter("c > 0").orderBy(F.desc("c"), "word").limit(MAX_CLEAN).collect()}
+    near = cut(words.mapInArrow(run, "word string, t long, c long, term string, e int"))
+    lexicon.clean = {r.word for r in near.filter("c > 0").select("word").collect()}
     found = near.groupBy("term").agg(*(F.count_if((F.col("e") == e) & cond).alias(f"{k}{e}") for e in (1, 2) for k, cond in (("t", F.col("c") == 0), ("c", F.col("c") > 0)))).collect()
-    near.unpersist()
     # a word near the term that training hasn't seen is as bad as those that it has; two toxic ones are assumed
     lexicon.near = {r.term: [round(u * (r[f"t{e}"] + 2.0) / (r[f"t{e}"] + r[f"c{e}"] + 2.0), 4) for e, u in zip((1, 2), UNSEEN_NEAR)] for r in found}
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` and ``score`` (0 to 1) of every row; whole texts, narrow. Null and empty texts score low."""
+    """Columns ``keep`` and ``score`` (0 to 1) of every row; narrow.
+
+    Null, empty and wordless texts score low, very long texts are scored whole,
+    repeated rows score alike, an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     schema = docs.select(*keep).schema.add("score", "double")
     sent, n = lexicon.to_json(), len(keep)
@@ -326,7 +333,12 @@ def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",)
 
 
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score and prediction of every document; the held-out fifth never teaches."""
+    """Score and prediction of every document; the held-out fifth never teaches.
+
+    A null id is not held out and teaches nothing; ``score`` defines null, empty
+    and long texts, repeats and empty tables; ties of the score are predicted 1
+    at 0.5; further columns, whatever their names, are ignored.
+    """
     got = score(docs, train(docs, labels))
     return got.select(
         "doc_id",
@@ -337,6 +349,10 @@ def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents, all columns, that score below the threshold."""
+    """The documents, all columns, that score below the threshold; rows without id or text are scored like all others.
+
+    Repeated rows stay or go together; without labels every document stays; an
+    empty table stays empty; columns keep their names.
+    """
     got = score(docs, train(docs, labels), tuple(docs.columns))
     return got.filter(F.col("score") < threshold).drop("score")
