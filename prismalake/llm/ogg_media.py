@@ -118,6 +118,26 @@ def demux(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
     return streams
 
 
+def timestamps(packets: list[tuple[bytes, int]], rate: int) -> list[tuple[int, int]]:
+    """Begin and end in milliseconds of each packet behind the header.
+
+    A page's granule position is the sample at which the last packet that ends
+    on it ends; packets before that on the page end as many samples earlier as
+    follow them there.
+    """
+    ends, last, granule = [], len(packets) - 1, None
+    for k in range(last, 0, -1):
+        data, on_page = packets[k]
+        if k == last or on_page != packets[k + 1][1]:
+            granule = on_page
+        ends.append(granule)
+        granule -= len(data)
+    ends.reverse()
+    if any(b < a for a, b in zip(ends, ends[1:], strict=False)) or granule:
+        raise OggError("granule positions and packets differ")
+    return [(a * 1000 // rate, b * 1000 // rate) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def read_media(data: bytes) -> tuple[bytes, dict]:
     """Payload and features of a stored value."""
     streams = demux(data)
@@ -126,14 +146,15 @@ def read_media(data: bytes) -> tuple[bytes, dict]:
         raise OggError("not one sound stream")
     rate, total = struct.unpack("<IQ", sound[0][0][0][4:16])
     payload = b"".join(p for p, _ in sound[0][1:])
-    if len(payload) != total or sound[0][-1][1] != total:
+    stamps = timestamps(sound[0], rate)
+    if len(payload) != total or stamps[-1][1] != total * 1000 // rate:
         raise OggError("granule positions and samples differ")
     x = np.frombuffer(payload, np.uint8).astype(np.float64)
     return payload, {
         "streams": len(streams),
         "packets": sum(map(len, streams.values())),
         "rate": rate,
-        "ms": total * 1000 // rate,
+        "ms": stamps[-1][1],
         "mean": round(float(x.mean()), 4),
         "std": round(float(x.std()), 4),
         "crossings": int(np.count_nonzero(np.diff((x >= 128).astype(np.int8)))),
@@ -147,7 +168,12 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes and the stored ``media`` of each row; null texts count as empty. Narrow."""
+    """id, n_bytes and the stored ``media`` of each row; narrow.
+
+    Null and empty texts are 64 zero bytes, very long texts are stored whole,
+    repeated rows give equal rows, null ids stay null, an empty table gives no
+    rows; other columns, whatever their names, are ignored.
+    """
 
     def rows(cols):
         ids, texts = cols
@@ -185,5 +211,5 @@ def decode(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def contract(docs: DataFrame) -> DataFrame:
-    """Each document stored and read back."""
+    """Each document stored and read back; ``encode`` defines nulls, empty and long texts, ties, repeats, empty tables and further columns."""
     return decode(encode(docs))
