@@ -323,10 +323,15 @@ def repeated_stretches(docs: DataFrame, stretch: int = STRETCH) -> DataFrame:
 def removed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per removed run: doc_id, key (of the text), start, end (code points, end exclusive), n_words, kept_doc_id.
 
+    Removed are lines and sentences that an earlier ranked text has, in runs of
+    ``min_words`` words and more (0: every repeated line or sentence), and every
+    repeat of STRETCH words wherever units begin.
+
     ``kept_doc_id`` is the smallest document that holds a unit or window of the
     run earlier. Rows repeated with the same id and text are one occurrence; a
     null doc_id ranks last; null and empty texts have no units; other columns are
-    ignored. A unit that a large share of all rows has leaves each Arrow batch
+    ignored. Equal occurrences in one text rank by place; very long texts are cut
+    into units whole; an empty table has no runs. A unit that a large share of all rows has leaves each Arrow batch
     once, so its group stays small.
     """
     small_batches(docs.sparkSession)
@@ -350,11 +355,17 @@ def removed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def contract(docs: DataFrame) -> DataFrame:
+    """A row a removed run; ``removed_runs`` defines nulls, empty and long texts, ties, repeats and further columns."""
     return removed_runs(docs).select("doc_id", "start", "end", "n_words", "kept_doc_id")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents, all columns, with ``text`` cut and ``removed`` array<struct<start,end>> of original offsets."""
+    """The documents, all columns, with ``text`` cut and ``removed`` array<struct<start,end>> of original offsets.
+
+    Null and empty texts and texts without repeats stay as they are with an
+    empty ``removed``; rows that repeat id and text are cut alike; null ids are
+    ids of their own text; an empty table stays empty.
+    """
     spans = removed_runs(docs, min_words).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     kind = "array<struct<start:bigint,end:bigint>>"
 

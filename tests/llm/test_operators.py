@@ -97,6 +97,34 @@ def test_curriculum(spark):
         assert r["position"] == pytest.approx(want, abs=2e-6)
 
 
+def test_every_use_has_its_position(spark):
+    """A source taken three times over: its uses follow each other along its own demand, all uses in one order."""
+    data = [(k, "w " * 4, "c") for k in range(5)] + [(k, "w " * 10, "a") for k in range(5, 60)] + [(99, "w " * 7, "b")]
+    mixed = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    got = rows(mixing.placements(mixed))
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"], r["doc_id"]].append(r)
+    of = {r["doc_id"]: r for r in rows(mixed)}
+    assert [r["position"] for r in got] == sorted(r["position"] for r in got)
+    assert [u["epoch"] for u in by["c", 0]] == [0, 1, 2]
+    for (s, i), uses in by.items():
+        r = of[i]
+        assert sum(u["words"] for u in uses) == r["taken"]
+        for u in uses:
+            share = (u["epoch"] * r["source_size"] + r["first"]) / r["target"]
+            want = {"a": share**0.5, "b": share, "c": 1 - (1 - share) ** 0.5}[s]
+            assert u["position"] == pytest.approx(want, abs=2e-6)
+
+
+def test_equal_ids_spread_over_buckets(spark, monkeypatch):
+    """A third of all rows without id: their texts tell them apart."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    data = [(None if k % 3 == 0 else k, f"{k} w", "a") for k in range(300)]
+    got = rows(mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")))
+    assert sorted(r["first"] for r in got) == list(range(0, 600, 2))
+
+
 def test_offsets_do_not_depend_on_buckets(spark, monkeypatch):
     d = spark.createDataFrame([(k, "w " * (k % 9), f"s{k % 2}") for k in range(500)], "doc_id long, text string, source string")
     one = sorted(map(str, rows(mixing.contract(d))))
@@ -121,6 +149,32 @@ def test_substitutions_are_tolerated(spark):
     assert found[1]["start"] == 9 and found[1]["matched"] == 30 and found[2]["matched"] == 26
 
 
+def test_masks_miss_no_three_substitutions():
+    import itertools
+
+    for gone in itertools.combinations(range(decontaminate.STRETCH), 3):
+        assert any(
+            all(m[k] == "0" or s + k not in gone for k in range(len(m))) for m in decontaminate.MASKS for s in range(decontaminate.STRETCH - len(m) + 1)
+        ), gone
+
+
+def test_short_items_must_be_whole(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta"), (3, " -- "), (None, "beta gamma delta epsilon zeta eta")], "item_id long, text string")
+    data = [(1, "x Alpha, beta gamma y"), (2, "alpha beta x gamma"), (3, "the delta."), (4, "beta gamma delta epsilon zeta eta"), (5, "beta gamma delta epsilon zeta theta"), (6, None), (7, "")]
+    got = {(r["doc_id"], r["item_id"], r["start"]) for r in rows(decontaminate.overlaps(spark.createDataFrame(data, "doc_id long, text string"), items))}
+    assert got == {(1, 1, 1), (3, 2, 1), (4, None, 0), (4, 2, 2), (5, 2, 2)}
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_texts_of_one_id_are_judged_alone(spark, most, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", most)
+    item = " ".join(f"w{k}" for k in range(20))
+    data = [(None, item, 0), (None, "a clean text", 1), (1, item, 2), (1, "another clean text", 3), (1, None, 4), (2, item, 5), (2, item, 6)]
+    docs_ = spark.createDataFrame(data, "doc_id long, text string, n long")
+    got = sorted(r["n"] for r in rows(decontaminate.decontaminate(docs_, spark.createDataFrame([(9, item)], "item_id long, text string"))))
+    assert got == [1, 3, 4]
+
+
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_overlaps_equal_brute_force(spark, data, most, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", most)
@@ -169,6 +223,49 @@ def test_bundles_seek(spark):
     assert got[0]["refers_to"] == 360 and got[399]["refers_to"] is None
 
 
+def test_records_are_fetched_by_identifier(spark):
+    pages = spark.createDataFrame([(k % 90, f"http://x/{k % 90}?a%20b\r\n", f"<p>{k % 30} " + "é" * 9000) for k in range(100)] + [(None, None, None)] * 3, "page_id long, url string, html string")
+    bundles = warc_bundles.write(pages)
+    index = rows(warc_bundles.index(bundles))
+    assert len(index) == 103 == len({r["record_id"] for r in index})
+    of = {r["record_id"]: r for r in index}
+    wanted = [r["record_id"] for r in index if r["page_id"] in (3, 63, 5, None)]
+    got = {r["record_id"]: r for r in rows(warc_bundles.fetch(bundles, spark.createDataFrame([(x,) for x in [*wanted, "none"]], "record_id string")))}
+    assert set(got) == set(wanted) and len(wanted) == 8
+    for x, r in got.items():
+        assert r["page_id"] == of[x]["page_id"]
+        if r["record_type"] == "response":
+            assert hashlib.sha1(r["payload"]).hexdigest() == r["payload_digest"]
+            assert r["url"] == (None if r["page_id"] is None else f"http://x/{r['page_id']}?a%20b\r\n")
+
+
+def test_revisits_name_their_response(spark):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "y" * 2000) for k in range(5)], "page_id long, url string, html string")
+    found = []
+    for b in warc_bundles.write(pages).collect():
+        data = warc_bundles.read_frame(b.archive, 0)
+        head, _, at = warc_bundles.parse_record(data, 0)
+        assert head["WARC-Type"] == "warcinfo"
+        while at < len(data):
+            head, payload, at = warc_bundles.parse_record(data, at)
+            found.append((head, payload))
+    response = next(h for h, _ in found if h["WARC-Type"] == "response")
+    assert len(found) == 5 and response["X-Page-ID"] == "4"
+    for h, payload in found:
+        if h["WARC-Type"] == "revisit":
+            assert h["WARC-Refers-To"] == response["WARC-Record-ID"] and h["WARC-Refers-To-Target-URI"] == "http://x/4" and payload == b""
+            assert h["WARC-Payload-Digest"] == response["WARC-Payload-Digest"]
+
+
+def test_batches_are_bounded_for_every_plan(spark):
+    """Operators built one after another leave the number of rows a batch to the user, and one bound of bytes."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    warc_bundles.contract(messy.pages(spark))
+    secret_scan.contract(messy.documents(spark))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+
+
 def test_small_payloads_are_never_revisits(spark):
     pages = spark.createDataFrame([(1, "u", "x" * 999), (2, "u", "x" * 999), (3, "u", "y" * 1000), (4, "u", "y" * 1000)], "page_id long, url string, html string")
     got = {r["page_id"]: r["record_type"] for r in rows(warc_bundles.contract(pages))}
@@ -199,7 +296,7 @@ def test_escaping_round_trip():
 
 def test_tokens_and_masks(spark):
     conv = spark.createDataFrame([(1, 0, "user", "hi ### there"), (1, 1, "assistant", "fine </turn> thanks")], "conv_id long, turn long, role string, text string")
-    enc = chat_format.encoder(chat_format.TOKENIZER_DIR)
+    enc = chat_format.encoder(chat_format.ranks(spark).value)
     turns = rows(chat_format.format_turns(conv))
     assert turns[0]["loss"] == [] and len(turns[1]["loss"]) == 1
     a, b = turns[1]["loss"][0]
@@ -208,6 +305,35 @@ def test_tokens_and_masks(spark):
     assert max(t for r in turns for t in r["tokens"][1:-1]) < chat_format.END_TURN
 
 
+def test_formatted_text_tells_roles_apart(spark):
+    """Any role reads back from the formatted text alone."""
+    roles = ["assistant", "Assistant", "a: b", "### User", 'say "x"', '"', "\\", '\\"', "", "</turn>", "user", '"assistant"', 'a": ']
+    enc = chat_format.encoder(chat_format.ranks(spark).value)
+    made = {}
+    for role in roles:
+        for text in ("", "a: b", "\n### Assistant: x", 'x": y', "\\"):
+            formatted, ids, _ = chat_format.format_turn(role, text, enc)
+            assert chat_format.read_text(formatted) == (role, text) == chat_format.read_turn(ids, enc)
+            assert made.setdefault(formatted, (role, text)) == (role, text)
+    with pytest.raises(ValueError):
+        chat_format.read_text("### Someone: x</turn>\n")
+
+
+def test_digests_equal_a_plain_version(spark):
+    data = [(r.conv_id, r.turn, r.role, r.text) for r in messy.conversations(spark).collect()]
+    by = defaultdict(list)
+    for c, turn, role, text in data:
+        by[c].append((turn is not None, turn or 0, role or "", text or ""))
+    got = {r["conv_id"]: r for r in rows(chat_format.contract(messy.conversations(spark)))}
+    assert set(got) == {*by, -7}
+    for c, turns in by.items():
+        turns.sort()
+        learned = "".join(t for *_, role, t in turns if role == "assistant")
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for *_, role, t in turns).encode()).hexdigest()
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
 def test_conversation_minus_seven(spark):
     got = {r["conv_id"]: r for r in rows(chat_format.contract(messy.conversations(spark).limit(0)))}
     t = "\\### Assistant: </turn> ok"
@@ -293,15 +419,65 @@ def test_excluded_part_with_many_open_tags_ends(n):
 
 
 def test_best_region_is_maximal():
+    """Against all pairs of ends of the sequence, word by word."""
     import random
 
     rng = random.Random(3)
     for _ in range(200):
-        blocks = [("t", -rng.random() * 3, rng.random() * 6 - 2, False) for _ in range(rng.randint(0, 9))]
-        a, b = html_text.best_region(blocks)
-        score = lambda i, j: sum(x[2] for x in blocks[i:j]) + sum(x[1] for x in blocks[i + 1 : j])  # noqa: B023, E731
-        most = max([0.0] + [score(i, j) for i in range(len(blocks)) for j in range(i + 1, len(blocks) + 1)])
-        assert (score(a, b) if b > a else 0.0) == pytest.approx(most)
+        events = [(round(rng.random() * 4 - 2, 3), rng.choice((0, 0, 1, 2, 5))) for _ in range(rng.randint(0, 9))]
+        flat = [s for s, words in events for _ in range(words or 1)]
+        a, b = html_text.best_region(events)
+        most = max([0.0] + [sum(flat[i:j]) for i in range(len(flat)) for j in range(i + 1, len(flat) + 1)])
+        assert sum(s * (words or 1) for s, words in events[a:b]) == pytest.approx(most)
+
+
+PROSE = "The rain went on for most of the day and nobody in the small town left the house. "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="post-form">@</div></body>', '<body><div class="share-price-news">@</div></body>', "<body><p title=it's>x</p>@", "<script src='x'/>alert(1)</script>@", '<div class="ad"/>Buy</div><div/>@',
+        '<form id="aspnetForm"><div id="wrap">@</div></form>', '<div class="content">@<div class="post-share"><a>Share</a><a>Tweet</a></div></div>', '<div class="content">@<div class="article-comments">@@</div></div>',
+        '<div class="cookie-notice">' + PROSE * 3 + "</div>@", '<div class="alert">Closed today</div>@', "<svg><text>chart</text><path/></svg>@", "<header><h2>Site</h2></header>@<footer>Imprint</footer>", "<a href='a>b'>Home</a><nav>x</nav>@",
+    ],
+)
+def test_pages_of_many_makes(page):
+    paragraphs = [f"{PROSE}Number {k} &amp; more." for k in range(4)]
+    inner = "<article>" * ("article" in page) + "".join(f"<p>{x}</p>" for x in paragraphs) + "</article>" * ("article" in page)
+    bare = page.replace("@@", "<p>" + PROSE * 3 + "</p>").replace("@", "".join(f"<p>{x}</p>" for x in paragraphs))
+    want = "\n".join(x.replace("&amp;", "&") for x in paragraphs)
+    assert inner and html_text.main_text(bare).removeprefix("x\n").removeprefix("Home\n") == want
+
+
+def test_words_of_generated_pages():
+    """Precision and recall of words over pages with known articles, beside parts of every kind that has to go."""
+    import random
+
+    rng = random.Random(11)
+    say = lambda n: " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "omega")) + str(rng.randrange(900)) for _ in range(n))
+    link = lambda: f'<li><a href="#">{say(rng.randint(1, 3))}</a></li>'
+    around = [
+        lambda: f"<nav><ul>{''.join(link() for _ in range(6))}</ul></nav>", lambda: f'<div class="site-header"><a>{say(2)}</a></div>', lambda: f'<div id="sidebar"><h3>{say(2)}</h3><ul>{"".join(link() for _ in range(5))}</ul></div>',
+        lambda: f'<div class="ad">{say(8)}</div>', lambda: f'<section class="comments"><h3>{say(1)}</h3>' + "".join(f"<p>{say(30)}</p>" for _ in range(3)) + "</section>", lambda: f"<footer><p>{say(12)}</p></footer>",
+        lambda: f'<div class="cookie-banner"><p>{say(25)}</p><button>{say(1)}</button></div>', lambda: f"<form><label>{say(2)}</label><input><p>{say(5)}</p></form>", lambda: f"<script>var x = '{say(20)}';</script><style>p{{}}</style>",
+    ]
+    caught = wanted = given = 0
+    for _ in range(120):
+        blocks = [say(rng.randint(15, 60)) for _ in range(rng.randint(3, 9))]
+        body = f"<h1>{blocks[0][:30]}</h1>" + "".join(f"<p>{b}</p>" if rng.random() < 0.8 else f"<p>{b}<br>" for b in blocks)
+        body = rng.choice(("<article>{}</article>", '<div class="post-content">{}</div>', "<main>{}</main>", "<div><div>{}</div></div>")).format(body)
+        parts = [f() for f in rng.sample(around, rng.randint(2, 6))]
+        k = rng.randint(0, len(parts))
+        got = Counter(html_text.main_text(f"<html><head><title>{say(4)}</title></head><body>{''.join(parts[:k])}{body}{''.join(parts[k:])}</body></html>").split())
+        want = Counter(f"{blocks[0][:30]} {' '.join(blocks)}".split())
+        caught, wanted, given = caught + sum((got & want).values()), wanted + sum(want.values()), given + sum(got.values())
+    assert caught / wanted > 0.98 and caught / given > 0.98, (caught / wanted, caught / given)
+
+
+def test_weights_are_learned():
+    w = html_text.learn([("<body><ul><li>a b</li><li>c</li></ul><section><p>d e f</p><p>g</p></section></body>", "d e f\ng")])
+    assert w["li"] < w["p"] == -0.02
 
 
 # ---- 7
@@ -421,6 +597,30 @@ def test_media_round_trip(n):
     assert back == payload and feature["streams"] == 2 and feature["ms"] == len(payload) * 1000 // ogg_media.RATE
 
 
+def test_media_contract_equals_a_plain_version(spark, data):
+    docs_ = spark.read.parquet(f"{data}/documents.parquet").unionByName(messy.documents(spark).select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is null or doc_id < 20").withColumn("doc_id", F.col("doc_id") - 100))
+    texts = defaultdict(list)
+    for r in docs_.collect():
+        texts[r.doc_id].append(r.text or "")
+    got = defaultdict(list)
+    for r in rows(ogg_media.contract(docs_)):
+        got[r["doc_id"]].append(r)
+    assert set(got) == set(texts)
+    plain = lambda t: t.encode() + bytes(-len(t.encode()) % 64 or 64 * (not t))
+    for i, found in got.items():
+        want = sorted((len(t.encode()), len(plain(t)), hashlib.sha256(plain(t)).hexdigest(), zlib.crc32(plain(t)[-64:])) for t in texts[i])
+        assert sorted((r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in found) == want
+        assert all(r["media_bytes"] > r["payload_bytes"] and len(r["media_sha256"]) == 64 for r in found)
+
+
+@pytest.mark.parametrize("n", [64, 4096, 4160, 255 * 255 * 3, 500_032])
+def test_packets_have_timestamps(n):
+    sound = next(s for s in ogg_media.demux(ogg_media.write_media(b"z" * n)).values() if s[0][0][:4] == b"PCM8")
+    got = ogg_media.timestamps(sound, ogg_media.RATE)
+    ends = [min(k + ogg_media.PACKET, n) for k in range(0, n, ogg_media.PACKET)]
+    assert got == [(a * 1000 // ogg_media.RATE, b * 1000 // ogg_media.RATE) for a, b in zip([0, *ends], ends)]
+
+
 def test_broken_media_is_refused():
     media = bytearray(ogg_media.write_media(b"x" * 640))
     for at in (5, 30, len(media) - 1):
@@ -499,10 +699,46 @@ def test_lexer_reads_configuration(t):
     assert secret_scan.lexed(plain) == want
 
 
+Q = "u8Xk29QqLm4z"
+
+
+@pytest.mark.parametrize(
+    ("t", "want"),
+    [
+        (f'pwd = """{Q}"""', [Q]), (f"pwd = '''\n{Q}\n'''", [f"\n{Q}\n"]), ('pwd = "correct horse battery 9Zq"', ["correct horse battery 9Zq"]), ('password = "Please enter your password"', []),
+        (f'A = "{Q}"; A = foo\npwd = A', []), (f'A = "{Q}"\nA = foo()\npwd = A', []), (f'A = "x"\nA = "{Q}"\npwd = A', [Q]), (f"<password>{Q}</password>", [Q]), ("<password>enter it here</password>", []),
+        (f'pwd = "u8Xk" "{Q}"', ["u8Xk", Q]), (f'pwd = f"{{A}}{Q}"', [f"{{A}}{Q}"]), (f'pwd = b"{Q}"', [Q]), (f'pwd <- "{Q}"', [Q]), (f"PWD: |\n  {Q}\n  {Q[::-1]}\nnext: 1", [Q, Q[::-1]]),
+        (f'd["pwd"] = "{Q}"', [Q]), (f"pwd := `{Q}`", [Q]), (f'conn.setPassword("{Q}")', [Q]), (f'"pwd": ["{Q}", "{Q[::-1]}"]', [Q, Q[::-1]]), ('pwd = ("u8Xk29"\n  "QqLm4z11")', ["u8Xk29", "QqLm4z11"]),
+        (f'pwd = A +\n "{Q}"', [Q]), (f'# pwd = "{Q}"', [Q]), (f'pwd="""{Q}', []), (f'if pwd == "{Q}":', []),
+    ],
+)
+def test_lexer_reads_code(t, want):
+    assert [t[a:b] for a, b in secret_scan.lexed(t)] == want
+
+
+def test_added_spans_of_generated_code():
+    """Every pair of a sensitive name and a key is found in every syntax, and no pair of a plain name or a plain value."""
+    import random
+
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(rng.randint(16, 32)))
+    syntaxes = ['{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "export {n}={v}", "{n} => '{v}',", 'const {n}: string = "{v}";', "{n} := `{v}`", 'self.{n} = "{v}"', 'x["{n}"] = "{v}"', "{n}={v};", "<{n}>{v}</{n}>", "{n}: {v}"]
+    sensitive = ("db_pwd", "userPassphrase", "credentials", "client_secret_value", "bearer_auth", "DB_PASS_KEY", "signing_key_private")
+    for _ in range(400):
+        lines, want = [], set()
+        for _ in range(rng.randint(1, 8)):
+            hot = rng.random() < 0.5
+            name, value = rng.choice(sensitive) if hot else rng.choice(("title", "path", "colour", "note")), key()
+            lines.append(rng.choice(syntaxes).format(n=name, v=value))
+            want |= {value} if hot else set()
+        t = "\n".join(lines) + "\n"
+        assert {t[a:b] for a, b in secret_scan.lexed(t)} == want, t
+
+
 def test_chains_without_end_are_read_once():
     import time
 
-    for t in ("pwd:" * 50_000, "a=" * 50_000, "pwd = " * 50_000, "k: v " * 50_000, "a=?" * 50_000, "pwd=?" * 50_000):
+    for t in ("pwd:" * 50_000, "a=" * 50_000, "pwd = " * 50_000, "k: v " * 50_000, "a=?" * 50_000, "pwd=?" * 50_000, "pwd = ('a', " * 20_000, "a='''" * 30_000, "<a>" * 50_000, 'pwd = "a" + ' * 30_000, "pwd: |\n  x\n" * 20_000):
         at = time.time()
         secret_scan.lexed(t)
         assert time.time() - at < 20

@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline
 from prismalake.llm import decontaminate, ngram_join, secret_scan, toxicity
 
+from . import messy
 from .test_operators import WORD, brute_components, words_of
 
 
@@ -82,3 +83,58 @@ def test_run_equals_a_plain_version(spark, data):
     assert got.keys() == want.keys()
     for i, (size, target, taken) in want.items():
         assert got[i][0] == size and got[i][1] == pytest.approx(target) and got[i][2] == taken
+
+
+@pytest.fixture(scope="module")
+def messy_dir(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("messy"))
+    for name in ("documents", "labels", "benchmark"):
+        table = getattr(messy, name)(spark)
+        table.write.parquet(f"{root}/full/{name}.parquet")
+        table.limit(0).write.parquet(f"{root}/empty/{name}.parquet")
+    return root
+
+
+def plain_rows(df):
+    return sorted(tuple("" if v is None else repr(v) for v in r) for r in df.collect())
+
+
+def test_stages_on_messy_tables(spark, messy_dir):
+    """What each stage has to keep of the messy rows, one after another."""
+    docs = spark.read.parquet(f"{messy_dir}/full/documents.parquet")
+    given = docs.collect()
+    steps = dict(corpus_pipeline.STAGES)
+    kept = steps["toxicity"](spark, docs, f"{messy_dir}/full")
+    assert kept.columns == docs.columns and plain_rows(kept) == plain_rows(docs)  # three labels teach no term
+
+    kept = steps["near duplicates"](spark, docs, f"{messy_dir}/full")
+    want = {(r.doc_id, r.text) for r in given} - {(6, given[5].text)}  # the only two equal texts under different ids
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
+
+    kept = steps["decontamination"](spark, docs, f"{messy_dir}/full")
+    assert kept.columns == docs.columns
+    gone = {r.doc_id for r in given} - {r.doc_id for r in kept.collect()}
+    assert gone == {5, 6} and kept.count() == len(given) - 2
+
+    kept = steps["secrets"](spark, docs, f"{messy_dir}/full")
+    assert kept.schema == docs.schema and kept.count() == len(given)
+    for r in kept.collect():
+        old = next(x for x in given if x.doc_id == r.doc_id and (x.text == r.text or x.doc_id in (9, 11)))
+        assert r.text == secret_scan.redact_text(old.text)
+        assert r.n_chars == (old.n_chars if r.text == old.text else len(r.text))
+
+    got = steps["mixing"](spark, docs, f"{messy_dir}/full").collect()
+    assert sorted((r.size for r in got)) == sorted(len(WORD.findall(r.text or "")) for r in given)
+
+
+def test_run_on_messy_and_empty_tables(spark, messy_dir):
+    got = corpus_pipeline.run(spark, f"{messy_dir}/full")
+    assert got.count() > 5 and got.filter("taken > 3 * size").count() == 0
+    docs = spark.read.parquet(f"{messy_dir}/empty/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, f"{messy_dir}/empty")
+        assert out.count() == 0 and (name == "mixing" or out.columns == docs.columns)
+        # rows without labels or benchmark
+        assert stage(spark, spark.read.parquet(f"{messy_dir}/full/documents.parquet"), f"{messy_dir}/empty").count() > 0
+    assert corpus_pipeline.run(spark, f"{messy_dir}/empty").count() == 0
