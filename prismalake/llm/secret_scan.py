@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, small_batches
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "literal")
@@ -27,18 +27,30 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the length limit may stand in the pattern
 
-#: A literal or a name; names may hold white space-free dots.
-_TERM = r"(?:\"[^\"\n\\]*(?:\\.[^\"\n\\]*)*\"|'[^'\n\\]*(?:\\.[^'\n\\]*)*'|[A-Za-z_$][A-Za-z0-9_.$\{\}]*)"
+#: A quoted literal (with a prefix of the usual letters, in one of the usual quotes, or three of them over several lines) and a name.
+_STRING = (
+    r"(?>(?:[bBrRuUfFL@$]{1,2})?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''"
+    r"|\"[^\"\n\\]*(?:\\.[^\"\n\\]*)*\"|'[^'\n\\]*(?:\\.[^'\n\\]*)*'|`[^`\n]*`))"
+)
+_TERM = rf"(?:{_STRING}|[A-Za-z_$][A-Za-z0-9_.$\{{\}}]*)"
+STRING, TERM = re.compile(_STRING, re.S), re.compile(_TERM, re.S)
 #: A target and its operator. What follows may be a further target of a chain, or a type in front of the operator.
-TARGET = re.compile(r"(?<![A-Za-z0-9_.\-])(?P<quote>[\"']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=quote)[ \t]*(?:=>|:=|=(?![=~])|:)[ \t]*")
+TARGET = re.compile(r"(?<![A-Za-z0-9_.\-])(?P<quote>[\"']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=quote)\]?[ \t]*(?:=>|:=|<-|=(?![=~])|:)[ \t]*")
 LINK = re.compile(r"(?:&(?:'[a-z]+[ \t]+)?|\*)?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?:\[[^\]\n=]*\]|<[^>\n=]*>|[?!])?(?P<gap>[ \t]*)(?:=>|:=|=(?![=~])|:)[ \t]*")
-RHS = re.compile(rf"{_TERM}(?:[ \t]*\+[ \t]*{_TERM})*")
+#: Literals and names joined by an operator, or literals side by side.
+RHS = re.compile(rf"{_TERM}(?:[ \t]*(?:\+|\.\.|\|\||&)[ \t]*(?:\\?\n[ \t]*)?{_TERM}|[ \t]*{_STRING})*", re.S)
+#: A list, or literals that continue over lines, in brackets.
+GROUP = re.compile(rf"[(\[]\s*{_STRING}(?:[\s,+\\]*{_STRING})*[\s,]*[)\]]", re.S)
+#: Indented lines under a key.
+LINES = re.compile(r"[|>][+\-]?[ \t]*\n(?P<lines>(?:[ \t]+[^\s].*(?:\n|\Z))+)")
+#: Elements, and calls that set something.
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.:\-]*)(?:[ \t][^<>]*)?>(?P<value>[^<>]+)</(?P=name)[ \t]*>")
+CALL = re.compile(rf"(?<![A-Za-z0-9_])(?:set|with|use)_?(?P<name>[A-Za-z_][A-Za-z0-9_]*)\([ \t]*(?P<value>{_STRING})", re.S)
 #: The end of an unquoted value, and what may follow it if white space may be inside.
 STOP = re.compile(r"[\s;,]|$")
 TAIL = re.compile(r"[ \t]*(?:[;,\r\n#]|$)")
 #: Unquoted code: calls, subscripts, quotes, references.
 CODE = re.compile(r"[\"'`$]|^[A-Za-z_][A-Za-z0-9_.:]*[(\[]|^[&*(\[{<]")
-TERM = re.compile(_TERM)
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: Fixed sensitivity of the parts of a target name.
@@ -62,8 +74,10 @@ def name_score(name: str) -> float:
 
 def _looks(counts: Counter, small: str | None) -> float:
     n = sum(counts.values())
-    if n < 6 or (small is not None and small.lower() in PLACEHOLDERS) or " " in counts or "\t" in counts:
+    if n < 6 or (small is not None and small.lower() in PLACEHOLDERS):
         return 0.0
+    if any(c.isspace() for c in counts) and not (any(c.isdigit() for c in counts) and any(c.isalpha() for c in counts)):
+        return 0.0  # a sentence
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n)
     return min(n, 16) / 16 * min(1.0, entropy / 3.0)
 
@@ -111,22 +125,74 @@ class Constant:
                 todo += c.uses
 
 
+def inner(text: str, start: int, end: int) -> tuple[int, int]:
+    """What stands between the quotes of a literal."""
+    while text[start] not in "\"'`":
+        start += 1
+    n = 3 if end - start >= 6 and text[start : start + 3] in ('"""', "'''") else 1
+    return start + n, end - n
+
+
+def quoted(text: str, at: int, known: dict[str, Constant]) -> tuple[list[Constant], int]:
+    """The values behind an operator, of literals and known names; none if it is neither."""
+    if m := GROUP.match(text, at):
+        values, last = [Constant()], None
+        for t in STRING.finditer(text, at, m.end()):
+            if last is not None and "," in text[last : t.start()]:
+                values.append(Constant())
+            values[-1].literal(text, *inner(text, t.start(), t.end()))
+            last = t.end()
+        return values, m.end()
+    if m := LINES.match(text, at):
+        value = Constant()
+        for line in re.finditer(r"[^\s].*", m["lines"]):
+            a, b = m.start("lines") + line.start(), m.start("lines") + line.start() + len(line.group().rstrip())
+            value.literal(text, a, b)
+        return [value], m.end()
+    m, value = RHS.match(text, at), Constant()
+    if m:
+        for t in TERM.finditer(text, at, m.end()):
+            word = t.group()
+            if word[-1] in "\"'`":
+                value.literal(text, *inner(text, t.start(), t.end()))
+            elif word.strip("${}") in known:
+                value.use(known[word.strip("${}")])
+    return ([value], m.end()) if value.spans or value.uses else ([], at)
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that the lexer takes for secrets.
 
-    Every target of a chain gets its value. Right sides without a literal or a
-    known name are unquoted values, up to white space, ; or , behind a tight
-    ``=``, otherwise up to the end of the line, ; , or a comment; such a value
-    with white space inside isn't key material.
+    Every target of a chain gets its value; a value that isn't understood makes
+    its targets unknown. Right sides without a literal or a known name are
+    unquoted values, up to white space, ; or , behind a tight ``=``, otherwise
+    up to the end of the line, ; , or a comment. A value with white space inside
+    must be quoted, and hold digits and letters. Comments are read like code, as
+    a secret in a comment is one; names have no scopes, the last assignment in
+    front of a use counts.
     """
     known: dict[str, Constant] = {}
     out: set[tuple[int, int]] = set()
 
-    def assign(names: list[str], value: Constant) -> None:
-        known.update(dict.fromkeys(names, value))
+    def assign(names: list[str], values: list[Constant]) -> None:
+        whole = values[0]
+        if len(values) > 1:
+            whole = Constant()
+            for v in values:
+                whole.use(v)
+        known.update(dict.fromkeys(names, whole))
         worth = max(map(name_score, names))
-        if worth >= THRESHOLD and worth * value.score() >= THRESHOLD:
-            value.list_spans(out)
+        if worth >= THRESHOLD:
+            for v in values:
+                if worth * v.score() >= THRESHOLD:
+                    v.list_spans(out)
+
+    def alone(name: str, start: int, end: int) -> None:
+        if name_score(name) >= THRESHOLD:
+            value = Constant()
+            value.literal(text, start, end)
+            if name_score(name) * value.score() >= THRESHOLD:
+                value.list_spans(out)
 
     at, stop, over, gone = 0, -1, 0, 0
     while m := TARGET.search(text, at):
@@ -134,17 +200,10 @@ def lexed(text: str) -> list[tuple[int, int]]:
         while link := LINK.match(text, heads[-1][1]):
             heads.append((link["name"], link.end(), text[link.end() - 1] == "=" and not link["gap"]))
         at = heads[-1][1]
-        value = Constant()
-        if rhs := RHS.match(text, at):
-            for t in TERM.finditer(text, at, rhs.end()):
-                word = t.group()
-                if word[0] in "\"'":
-                    value.literal(text, t.start() + 1, t.end() - 1)
-                elif word.strip("${}") in known:
-                    value.use(known[word.strip("${}")])
-        if value.spans or value.uses:
-            at = rhs.end()
-            assign([name for name, _, _ in heads], value)
+        values, end = quoted(text, at, known)
+        if values:
+            at = end
+            assign([name for name, _, _ in heads], values)
             continue
         # the targets of a chain with one unquoted value at its end; without white space they are part of the first value
         names: list[str] = []
@@ -158,13 +217,25 @@ def lexed(text: str) -> list[tuple[int, int]]:
             while end > start and text[end - 1] in ")]}" and not any(c in text[start:end] for c in "([{"):
                 end -= 1
             # inside another unquoted value (a query string) only sensitive targets matter, and none whose value went already
-            inner = m.start() < over and (stop <= gone or max(map(name_score, names)) < THRESHOLD)
-            if not inner and end > start and (tight or TAIL.match(text, stop)) and not CODE.search(text[start:end]):
+            within = m.start() < over and (stop <= gone or max(map(name_score, names)) < THRESHOLD)
+            if not within and end > start and (tight or TAIL.match(text, stop)) and not CODE.search(text[start:end]):
                 value = Constant()
                 value.literal(text, start, end)
-                assign(names, value)
+                assign(names, [value])
                 over, gone = stop, stop if value.listed else gone
+            else:
+                for x in names:
+                    known.pop(x, None)
             break
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            raw = m["value"]
+            if raw.strip():
+                a = m.start("value") + len(raw) - len(raw.lstrip())
+                if not any(c.isspace() for c in raw.strip()):
+                    alone(m["name"], a, a + len(raw.strip()))
+    for m in CALL.finditer(text):
+        alone(m["name"], *inner(text, *m.span("value")))
     return sorted(out)
 
 
@@ -176,7 +247,7 @@ def scan_text(text: str | None) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "<" in text or "(" in text:
         found += [(a, 3, b) for a, b in lexed(text)]
     return sorted(set(found))
 
@@ -185,8 +256,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per input row: its id and ``spans`` array<struct<kind,start,end>>.
 
     Offsets are code points, the end exclusive; spans are sorted by start, then
-    by kind. Null and empty texts get an empty array, repeated rows one row
-    each, other columns are ignored. Narrow: no shuffle.
+    by kind, then by end. Null and empty texts get an empty array, very long
+    texts are scanned whole, repeated rows give one row each, null ids stay null,
+    an empty table gives no rows; other columns, whatever their names, are
+    ignored. Narrow: no shuffle.
     """
 
     def rows(cols):
@@ -227,9 +300,11 @@ def redact_text(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The same rows and columns with secrets masked; ``chars_col`` follows the new text where present."""
-    from .common import small_batches
+    """The same rows and columns with secrets masked; ``chars_col`` follows the new text where present.
 
+    Null and empty texts, nulls in other columns and rows without secrets are
+    unchanged; repeated rows change alike; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index(text_col)
 
@@ -254,7 +329,10 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
 
 
 def contract(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, digest of the base spans, and all spans as text."""
+    """doc_id, counts of the base kinds, digest of the base spans, and all spans as text, a row each of ``scan``.
+
+    ``scan`` defines null, empty and long texts, ties, repeats, empty tables and further columns.
+    """
     found = scan(docs)
     line = lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))
     base = F.filter("spans", lambda s: s.kind != "literal")
