@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -111,6 +112,18 @@ def face_crop_rect(left: float, top: float, right: float, bottom: float, width:
     return x, y, x + side, y + side
 
 
+def source_size_for(left: Column, top: Column, right: Column, bottom: Column, output: Column, most: Column, grow: float = 1.5) -> Column:
+    """Side to decode a picture at so that the square cut out around a face has ``output`` pixels, from ``output`` to ``most``."""
+    span = F.greatest(right - left, bottom - top) * F.lit(grow)
+    need = F.ceil(output / F.nullif(span, F.lit(0.0)))
+    return F.when(span <= 0, output).otherwise(F.least(F.greatest(need, output), most)).cast("int")
+
+
+def stride_union(levels: Sequence[DataFrame]) -> DataFrame:
+    """Candidates of all detector levels (the same columns, a level each), before suppression."""
+    return reduce(DataFrame.unionByName, levels)
+
+
 # ---- numpy
 
 

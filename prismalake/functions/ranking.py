@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..shared import shared_dir
+
 
 def _kept(df: DataFrame) -> DataFrame:
     """``df`` as a table in the folder that all executors share."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="prismalake-")
-    path = f"{folder}/ranked-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ranked-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -7,24 +7,41 @@ Plain Parquet has no UPDATE: each function returns the whole new state, and
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .photos import committed
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows replace those with their key in place; child rows aren't touched."""
-    return target.join(rows.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(rows.select(*target.columns))
+def one_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = (), last: bool = True) -> DataFrame:
+    """One row a key: the last (or first) in ``order``, ties and no order by all columns; rows with a null key never conflict and stay.
+
+    A pre-aggregated maximum, so a key with very many rows doesn't meet in one task.
+    """
+    known = reduce(and_, (F.col(k).isNotNull() for k in keys))
+    plain = [c for c, kind in rows.dtypes if not kind.startswith("map")]
+    place = F.struct(*order, *(c for c in plain if c not in order))
+    pick = F.max_by if last else F.min_by
+    best = rows.filter(known).groupBy(*keys).agg(pick(F.struct(*rows.columns), place).alias("__row"))
+    return best.select("__row.*").unionByName(rows.filter(~known))
+
+
+def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows replace those with their key in place, the last of several with one key (by ``order``); child rows aren't touched."""
+    rows = one_of_each(rows.select(*dict.fromkeys([*target.columns, *order])), keys, order).select(*target.columns)
+    return target.join(rows.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(rows)
 
 
 #: A conflict deletes the old row and inserts the new one: the same state as an upsert of whole rows.
 insert_replace = upsert
 
 
-def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is new; null keys never conflict."""
+def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows whose key is new, the first of several with one key (by ``order``); null keys never conflict."""
+    rows = one_of_each(rows.select(*dict.fromkeys([*target.columns, *order])), keys, order, last=False)
     return target.unionByName(rows.join(target.select(*keys), list(keys), "left_anti").select(*target.columns))
 
 
@@ -105,12 +122,28 @@ def activate_model(models: DataFrame, model_id: int) -> DataFrame:
     return joined.withColumn("is_active", F.when(F.col("__t").isNotNull(), F.col("id") == model_id).otherwise(F.col("is_active"))).select(*models.columns)
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Write ``df`` in place of the table at ``path``: beside it first, then by two renames of the file system."""
-    spark = df.sparkSession
+def _places(spark: SparkSession, path: str) -> tuple:
     jpath = spark._jvm.org.apache.hadoop.fs.Path
-    new, old, now = jpath(path + ".new"), jpath(path + ".old"), jpath(path)
-    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = jpath(path)
+    return now.getFileSystem(spark._jsc.hadoopConfiguration()), jpath(path + ".new"), jpath(path + ".old"), now
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a ``swap`` that was stopped between its renames: the new table if it was whole, else the old one."""
+    fs, new, old, now = _places(spark, path)
+    if not fs.exists(now):
+        whole = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(new, "_SUCCESS"))
+        if whole or fs.exists(old):
+            fs.rename(new if whole else old, now)
+
+
+def swap(df: DataFrame, path: str) -> None:
+    """Write ``df`` in place of the table at ``path``: beside it first, then by two renames of the file system.
+
+    Stopped between them, the table is missing until ``recover`` puts it back;
+    what reads the tables of a sync calls that first.
+    """
+    fs, new, old, now = _places(df.sparkSession, path)
     df.write.mode("overwrite").parquet(path + ".new")
     fs.delete(old, True)
     if fs.exists(now) and not fs.rename(now, old):

@@ -8,6 +8,7 @@ scales, and may differ.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -78,15 +79,34 @@ OUTCOME = "id long, photo_id long, person_id long, assignment_type string, exclu
 
 
 def assign_new_faces(faces: DataFrame, state: State, manual: bool = False, next_id: int = 1) -> DataFrame:
-    """The exact pass over new faces (id, photo_id, embedding, quality, weight): one group by nature, so for a scan's worth of faces."""
+    """The exact pass over new faces (id, photo_id, embedding, quality, weight), photo by photo in one task.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        now, at, rows = State(dict(state.sums), set(state.named), dict(state.fixed)), next_id, []
-        for photo, part in pdf.sort_values(["photo_id", "id"]).groupby("photo_id", sort=True):
-            got, at = assign_photo(now, part.to_dict("records"), manual, next_id=at)
-            rows += [{"id": i, "photo_id": photo, **g} for i, g in zip(part["id"], got, strict=True)]
-        out = pd.DataFrame(rows, columns=["id", "photo_id", "person_id", "assignment_type", "exclusion_reason", "similarity"])
-        return out.astype({"person_id": "Int64"})
+    Each photo's assignments move the centroids, so the order is part of the
+    result; faces stream through sorted, and only the centroids and one batch
+    are in memory. ``people.assign_faces`` is the one that scales.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, at, held = State(dict(state.sums), set(state.named), dict(state.fixed)), next_id, None
+
+        def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal at
+            rows = []
+            for photo, part in pdf.groupby("photo_id", sort=False):
+                got, at = assign_photo(now, part.to_dict("records"), manual, next_id=at)
+                rows += [{"id": i, "photo_id": photo, **g} for i, g in zip(part["id"], got, strict=True)]
+            out = pd.DataFrame(rows, columns=["id", "photo_id", "person_id", "assignment_type", "exclusion_reason", "similarity"])
+            return out.astype({"person_id": "Int64"})
+
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            if len(b):
+                last = b["photo_id"] == b["photo_id"].iloc[-1]  # may go on in the next batch
+                held = b[last]
+                if not last.all():
+                    yield outcomes(b[~last])
+        if held is not None and len(held):
+            yield outcomes(held)
 
     cols = faces.select("id", "photo_id", "embedding", "quality", F.col("weight").cast("double").alias("weight"))
-    return cols.groupBy().applyInPandas(run, OUTCOME)
+    return cols.repartition(1).sortWithinPartitions("photo_id", "id").mapInPandas(run, OUTCOME)

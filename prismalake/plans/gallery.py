@@ -80,6 +80,24 @@ VIEWS: dict[str, str] = {
         SELECT CAST(n_nationkey AS BIGINT) AS id, CASE n_regionkey WHEN 0 THEN 'clip' WHEN 1 THEN 'translation' WHEN 2 THEN 'face_detection' WHEN 3 THEN 'face_embedding' ELSE 'ocr' END AS model_type,
                n_name AS model_name, n_nationkey % 5 = 0 AS is_active, n_nationkey % 7 = 0 AS is_builtin, 1640000000000 + n_nationkey AS added_at
         FROM {t:nation}""",
+    "asked_dates": """
+        SELECT o_orderkey AS id, o_orderkey % 12 + 1 AS m, 1950 + o_orderkey % 120 AS y, o_orderkey % 4 AS k,
+               CASE o_orderkey % 4
+                 WHEN 0 THEN concat('plage ', split_part('janvier,février,mars,avril,mai,juin,juillet,août,septembre,octobre,novembre,décembre', ',', CAST(o_orderkey % 12 + 1 AS INT)), ' ', CAST(1950 + o_orderkey % 120 AS {str}))
+                 WHEN 1 THEN concat('beach not in ', split_part('January,February,March,April,May,June,July,August,September,October,November,December', ',', CAST(o_orderkey % 12 + 1 AS INT)), ' ', CAST(1950 + o_orderkey % 120 AS {str}), ' sun')
+                 WHEN 2 THEN concat(CAST(o_orderkey % 12 + 1 AS {str}), '/', CAST(1950 + o_orderkey % 120 AS {str}))
+                 ELSE concat('x ', CAST(1950 + o_orderkey % 120 AS {str}), ' 13/2020') END AS q
+        FROM {t:orders}""",
+    "asked_relative": """
+        SELECT o_orderkey AS id, 18262 + o_orderkey % 1500 AS day, o_orderkey % 9 AS k,
+               concat('chat ', split_part('aujourd''hui|hier|la semaine dernière|last month|an dernier|last spring|l''été dernier|last fall|hiver dernier', '|', CAST(o_orderkey % 9 + 1 AS INT))) AS q
+        FROM {t:orders}""",
+    "asked_words": """
+        SELECT o_orderkey AS id, o_orderkey % 5 AS k, o_orderkey % 25 AS n, o_orderkey % 2 = 0 AS negated, concat('NATION_', CAST(o_orderkey % 25 AS {str})) AS name,
+               CASE WHEN o_orderkey % 2 = 0 THEN split_part('pas à|sans |not in|except near|sauf vers', '|', CAST(o_orderkey % 5 + 1 AS INT)) ELSE split_part('à|en|in|near|vers', '|', CAST(o_orderkey % 5 + 1 AS INT)) END AS lead
+        FROM {t:orders}""",
+    "steps": """
+        SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {t:events}""",
     "live_media": """
         SELECT CASE WHEN doc_id % 23 = 0 THEN doc_id + 5000000 ELSE doc_id END AS id,
                concat('content://', CAST(CASE WHEN doc_id % 29 = 0 THEN doc_id + 9000000 ELSE doc_id END AS {str})) AS file_path,

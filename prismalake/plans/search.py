@@ -18,6 +18,8 @@ from .query_parser import City, Country, Parsed, Person, extract_persons, parse
 
 FLOOR = 0.2
 MOST = 200
+#: Filters that can be taken off a search one by one.
+FILTERS = frozenset(("dates", "place", "kind", "country"))
 
 #: Fixed names of some countries in French and English.
 COUNTRY_NAMES = {
@@ -132,7 +134,7 @@ def search(
     encode: Callable[[str], Sequence[float]] | None = None,
     translate: Callable[[str], str | None] | None = None,
     encoder_knows_language: bool = True,
-    use: frozenset[str] = frozenset(("dates", "place", "kind", "country")),
+    use: frozenset[str] = FILTERS,
     removed_persons: Iterable[int] = (),
     model: str = "m1",
     floor: float = FLOOR,
@@ -154,6 +156,49 @@ def search(
     return replace(out, translated=translated, translation_missing=translated is None and not encoder_knows_language)
 
 
+@dataclass
+class Sitting:
+    """State of one search box: its query, the filters taken off, and a generation that tells a late result from the current one."""
+
+    query: str = ""
+    use: frozenset[str] = FILTERS
+    removed_persons: frozenset[int] = frozenset()
+    generation: int = 0
+    result: object = None
+
+    def submit(self, query: str) -> int:
+        """A new query: every filter counts again."""
+        self.query, self.use, self.removed_persons = query, FILTERS, frozenset()
+        return self._next()
+
+    def remove_filter(self, name: str) -> int:
+        self.use = self.use - {name}
+        return self._next()
+
+    def remove_person(self, person: int) -> int:
+        self.removed_persons = self.removed_persons | {person}
+        return self._next()
+
+    def _next(self) -> int:
+        self.generation += 1
+        if not self.query.strip():
+            self.result = None
+        return self.generation
+
+    def arrived(self, generation: int, result: object) -> bool:
+        """Whether a result is the current one's; a late one is dropped."""
+        if generation != self.generation:
+            return False
+        self.result = result
+        return True
+
+    def run(self, lib: Library, today: date, **options) -> Result | None:
+        """The current search; None for a blank query."""
+        if not self.query.strip():
+            return None
+        return search(lib, self.query, today, use=self.use, removed_persons=self.removed_persons, **options)
+
+
 class Recent(OrderedDict):
     """The last ``size`` entries by use: result lists of open searches, translations."""
 

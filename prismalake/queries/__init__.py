@@ -21,8 +21,12 @@ def register(name: str, build: Callable[[Gallery], DataFrame], sql: str | None =
     run.__name__ = name
     QUERIES[name] = run
     if sql is not None:
-        text = f"{duckdb_with(*views.split())}{', ' + sql[5:] if sql.startswith('WITH ') else ' ' + sql}"
+        head, recursive = duckdb_with(*views.split()), "WITH RECURSIVE "
+        if sql.startswith(recursive):
+            text = f"{recursive}{head[5:]}, {sql[len(recursive):]}"
+        else:
+            text = f"{head}{', ' + sql[5:] if sql.startswith('WITH ') else ' ' + sql}"
         ORACLE_SQL[name] = text
 
 
-from . import albums, composite, imports, media, mutations, parser, people, photos, places, vectors  # noqa: E402, F401
+from . import albums, composite, imports, media, mutations, parser, people, photos, places, scans, vectors  # noqa: E402, F401

@@ -11,23 +11,30 @@ from . import register
 
 P = "id, file_name, file_size"
 NEW = "SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 7000000 END AS id, 'new.jpg' AS file_name, CAST(1 AS BIGINT) AS file_size FROM photos"
+#: Every key of the batch comes twice.
+LAST = f"SELECT id, 'newer.jpg' AS file_name, file_size + 1 AS file_size FROM ({NEW}) x"
 
 
 def base(g):
     return g.photos.select("id", "file_name", "file_size")
 
 
+def twice(g):
+    """The batch with every key once more, later."""
+    return incoming(g).unionByName(incoming(g).withColumn("file_name", F.lit("newer.jpg")).withColumn("file_size", F.col("file_size") + 1))
+
+
 def incoming(g):
     return g.photos.select((F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(7000000)).cast("long").alias("id"), F.lit("new.jpg").alias("file_name"), F.lit(1).cast("long").alias("file_size"))
 
 
-UPSERT = f"WITH n AS ({NEW}) SELECT {P} FROM photos WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT {P} FROM n"
-register("upsert_photos", lambda g: mu.upsert(base(g), incoming(g), ["id"]), UPSERT)
-register("insert_replace", lambda g: mu.insert_replace(base(g), incoming(g), ["id"]), UPSERT)
-register("insert_ignore", lambda g: mu.insert_ignore(base(g), incoming(g), ["id"]), f"WITH n AS ({NEW}) SELECT {P} FROM photos UNION ALL SELECT {P} FROM n WHERE id NOT IN (SELECT id FROM photos)")
+UPSERT = f"WITH n AS ({LAST}) SELECT {P} FROM photos WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT {P} FROM n"
+register("upsert_photos", lambda g: mu.upsert(base(g), twice(g), ["id"], ["file_size"]), UPSERT)
+register("insert_replace", lambda g: mu.insert_replace(base(g), twice(g), ["id"], ["file_size"]), UPSERT)
+register("insert_ignore", lambda g: mu.insert_ignore(base(g), twice(g), ["id"], ["file_size"]), f"WITH n AS ({NEW}) SELECT {P} FROM photos UNION ALL SELECT {P} FROM n WHERE id NOT IN (SELECT id FROM photos)")
 register("insert_abort", lambda g: mu.insert_abort(base(g), incoming(g).filter("id >= 7000000"), ["id"]), f"WITH n AS ({NEW}) SELECT {P} FROM photos UNION ALL SELECT {P} FROM n WHERE id >= 7000000")
 K = ["photo_id", "analysis_type", "model_name"]
-register("upsert_analyses", lambda g: mu.upsert(g.analyses.select(*K, "text_result"), g.photos.select(F.col("id").alias("photo_id"), F.lit("clip_embedding").alias("analysis_type"), F.lit("m1").alias("model_name"), F.lit("t").alias("text_result")), K), "SELECT photo_id, analysis_type, model_name, text_result FROM photo_analyses WHERE photo_id NOT IN (SELECT id FROM photos) UNION ALL SELECT id, 'clip_embedding', 'm1', 't' FROM photos", "photos photo_analyses")
+register("upsert_analyses", lambda g: mu.upsert(g.analyses.select(*K, "text_result"), g.photos.select(F.col("id").alias("photo_id"), F.lit("clip_embedding").alias("analysis_type"), F.lit("m1").alias("model_name"), F.explode(F.array(F.lit("t"), F.lit("a"))).alias("text_result")), K, ["text_result"]), "SELECT photo_id, analysis_type, model_name, text_result FROM photo_analyses WHERE photo_id NOT IN (SELECT id FROM photos) UNION ALL SELECT id, 'clip_embedding', 'm1', 't' FROM photos", "photos photo_analyses")
 register("delete_by_uris", lambda g: mu.delete_keys(base(g).join(g.photos.select("id", "file_path"), "id"), g.live.select("file_path"), ["file_path"]).select("id"), "SELECT id FROM photos WHERE file_path NOT IN (SELECT file_path FROM live_media)", "photos live_media")
 
 

@@ -44,8 +44,16 @@ register("semantic_search_filtered", lambda g: semantic(g, box=BOX, floor=-1.0,
 register("topk_similarity", lambda g: semantic(g, floor=-1.0), SEM.format(floor=-1.0, k=200, also=""), "photo_analyses photos")
 register("embeddings_for_photos", lambda g: ph.with_ids(ph.embeddings_of(g.analyses, "clip_embedding", "m1"), [1, 2, 4, 3], "photo_id").select("photo_id", "embedding_dim"), "SELECT photo_id, embedding_dim FROM photo_analyses WHERE embedding IS NOT NULL AND photo_id IN (1, 2, 3, 4)", "photo_analyses")
 register("embeddings_chunk", lambda g: ph.embeddings_chunk(g.analyses, "clip_embedding", "m1", 20, 100).select("photo_id", "embedding_dim"), "SELECT photo_id, embedding_dim FROM photo_analyses WHERE embedding IS NOT NULL AND photo_id > 20 ORDER BY photo_id LIMIT 100", "photo_analyses")
-register("normalize_l2", lambda g: g.faces.select("id", F.round(vc.norm(vc.normalize_l2(F.transform("embedding", lambda x: x * 3))), 5).alias("norm")), "SELECT id, CAST(1.0 AS DOUBLE) AS norm FROM faces", "faces")
-register("blob_round_trip", lambda g: g.faces.select("id", F.round(vc.norm(vc.decode_column()(vc.encode_column()("embedding"))), 5).alias("norm")), "SELECT id, CAST(1.0 AS DOUBLE) AS norm FROM faces", "faces")
+each = lambda rows, c: rows.select("id", F.posexplode(c).alias("i", "x")).select("id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
+register(
+    "normalize_l2",
+    lambda g: each(g.faces.select("id", vc.normalize_l2(F.transform("embedding", lambda x: x * F.lit(3.0).cast("float"))).alias("v")), "v"),
+    """WITH v AS (SELECT id, list_transform(embedding, lambda x: CAST(x * CAST(3 AS FLOAT) AS FLOAT)) AS v FROM faces),
+       n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM v)
+       SELECT id, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS i, round(CAST(CAST(unnest(v) / n AS FLOAT) AS DOUBLE), 5) AS x FROM n""",
+    "faces",
+)
+register("blob_round_trip", lambda g: each(g.faces.select("id", vc.decode_column()(vc.encode_column()("embedding")).alias("v")), "v"), "SELECT id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i, round(CAST(unnest(embedding) AS DOUBLE), 5) AS x FROM faces", "faces")
 
 CENT = """WITH u AS (SELECT person_id, weight, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM faces WHERE assignment_type IN ('auto', 'manual')),
     s AS (SELECT person_id, i, sum(weight * CAST(x AS DOUBLE)) AS s FROM u GROUP BY person_id, i),
@@ -63,7 +71,13 @@ def with_centroids(g) -> DataFrame:
     return g.persons.withColumn("centroid_embedding", F.lit(None).cast("array<double>")).withColumn("centroid_updated_at", F.lit(None).cast("long"))
 
 
-register("recompute_centroid", lambda g: pe.recompute_centroids(with_centroids(g), g.faces, 5).select("id", F.size("centroid_embedding").alias("dim"), "centroid_updated_at"), CENT + " SELECT p.id, CAST(len(c.centroid) AS INT) AS dim, CASE WHEN c.centroid IS NOT NULL THEN CAST(5 AS BIGINT) END AS centroid_updated_at FROM persons p LEFT JOIN c ON c.person_id = p.id", "faces persons")
+register(
+    "recompute_centroid",
+    lambda g: pe.recompute_centroids(with_centroids(g), g.faces, 5).select("id", "centroid_updated_at", F.posexplode_outer("centroid_embedding").alias("i", "x")).select("id", "centroid_updated_at", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x")),
+    CENT + """, e AS (SELECT person_id, CAST(generate_subscripts(centroid, 1) - 1 AS BIGINT) AS i, round(unnest(centroid), 6) AS x FROM c)
+       SELECT p.id, CASE WHEN e.i IS NOT NULL THEN CAST(5 AS BIGINT) END AS centroid_updated_at, e.i, e.x FROM persons p LEFT JOIN e ON e.person_id = p.id""",
+    "faces persons",
+)
 register(
     "elect_primary_face",
     lambda g: pe.elect_primary_faces(g.faces).select("id", "is_primary"),
@@ -96,13 +110,28 @@ register(
 )
 
 
+#: Floor of the proposals over the fixture's vectors; what reaches it comes to the driver, to be matched there.
+ALIKE = 0.0
+
+
 def proposals(g) -> DataFrame:
-    pairs = pe.merge_candidates(frozen(g), -1.0).collect()  # people are few: one row a pair of a named and an anonymous one
+    pairs = pe.merge_candidates(frozen(g), ALIKE).collect()
     rows = [(m.keep, m.merge, round(m.similarity, 6)) for m in pe.propose_merges((r.keep, r.merge, r.similarity) for r in pairs)]
     return g.spark.createDataFrame(rows, "keep long, merge long, similarity double")
 
 
-register("propose_merges", proposals)
+# one proposal a step: the most similar pair of people that no earlier proposal has used
+register(
+    "propose_merges", proposals,
+    "WITH RECURSIVE" + CENT[4:] + f""", p AS (SELECT a.person_id AS keep, b.person_id AS merge, list_inner_product(a.centroid, b.centroid) AS s
+        FROM c a JOIN persons x ON x.id = a.person_id AND x.name IS NOT NULL CROSS JOIN c b JOIN persons y ON y.id = b.person_id AND y.name IS NULL WHERE list_inner_product(a.centroid, b.centroid) >= {ALIKE}),
+      k AS (SELECT *, row_number() OVER (ORDER BY s DESC, keep, merge) AS k FROM p),
+      r AS (SELECT CAST(0 AS BIGINT) AS at, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS keep, CAST(NULL AS BIGINT) AS merge, CAST(NULL AS DOUBLE) AS s
+        UNION ALL SELECT k.k, list_concat(r.used, [k.keep, k.merge]), k.keep, k.merge, k.s FROM r, k
+        WHERE k.k = (SELECT min(x.k) FROM k x WHERE x.k > r.at AND NOT list_contains(r.used, x.keep) AND NOT list_contains(r.used, x.merge)))
+      SELECT keep, merge, round(s, 6) AS similarity FROM r WHERE keep IS NOT NULL""",
+    "faces persons",
+)
 register(
     "topk_person_suggestions",
     lambda g: pe.suggestions(pe.recompute_centroids(with_centroids(g), g.faces, 5), list(query_of(g))).select("id", "name", F.round("similarity", 6).alias("similarity")),
@@ -160,7 +189,18 @@ register(
         SELECT id, det_id, round(iou, 6) AS iou FROM r WHERE k = 1 AND iou >= 0.5""",
     "faces",
 )
-register("nms", lambda g: fc.nms_per_photo(g.faces.withColumn("score", F.col("confidence")), 0.3).select("photo_id", "id"))
+#: Faces of 20 pictures each, so that there is something to suppress; in order of score each stays unless one that stayed overlaps it.
+register(
+    "nms", lambda g: fc.nms_per_photo(g.faces.withColumn("score", F.col("confidence")).withColumn("photo_id", F.floor(F.col("id") / 20)), 0.3).select("photo_id", "id"),
+    f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY confidence DESC, id) AS k FROM (SELECT *, id // 20 AS photo FROM faces) x),
+        o AS (SELECT a.photo, a.k, list(b.k) AS hits FROM f a JOIN f b ON a.photo = b.photo AND b.k < a.k WHERE {IOU} / ({AREAS} - {IOU}) > 0.3 GROUP BY a.photo, a.k),
+        r AS (SELECT photo, CAST(1 AS BIGINT) AS k, [CAST(1 AS BIGINT)] AS kept FROM f WHERE k = 1
+              UNION ALL SELECT f.photo, f.k, CASE WHEN len(list_intersect(r.kept, coalesce(o.hits, CAST([] AS BIGINT[])))) = 0 THEN list_append(r.kept, f.k) ELSE r.kept END
+              FROM r JOIN f ON f.photo = r.photo AND f.k = r.k + 1 LEFT JOIN o ON o.photo = f.photo AND o.k = f.k),
+        e AS (SELECT photo, max_by(kept, k) AS kept FROM r GROUP BY photo)
+        SELECT f.photo AS photo_id, f.id FROM f JOIN e ON e.photo = f.photo WHERE list_contains(e.kept, f.k)""",
+    "faces",
+)
 register("to_detected_faces", lambda g: g.faces.select("id", *(r6(c).alias(n) for c, n in zip(detected(), ("l", "t", "r", "b"), strict=True))), "SELECT id, round(least(greatest((box_left * 1000 - 50) / 640, 0), 1), 6) AS l, round(least(greatest((box_top * 1000 - 20) / 480, 0), 1), 6) AS t, round(least(greatest(box_right * 1000 / 640, 0), 1), 6) AS r, round(least(greatest(box_bottom * 1000 / 480, 0), 1), 6) AS b FROM faces", "faces")
 register("embed_source_size", lambda g: g.faces.select("id", fc.embed_source_size(F.col("box_right") - F.col("box_left"), F.lit(1024), F.lit(768), F.lit(112), F.lit(3072)).alias("size")), "WITH p AS (SELECT id, (box_right - box_left) * 768 AS px FROM faces) SELECT id, CAST(CASE WHEN px <= 0 OR 112 / px <= 1 THEN 1024 ELSE least(greatest(trunc(1024 * (112 / px)), 1024), 3072) END AS INT) AS size FROM p", "faces")
 

@@ -13,7 +13,8 @@ from ..functions.text import normalize_column
 
 def _lines(spark: SparkSession, path: str, least: int) -> DataFrame:
     """Lines as arrays of columns (no quoting), short ones out, with their place in the file."""
-    rows = spark.read.text(path).select(F.split("value", "\t").alias("c"), F.monotonically_increasing_id().alias("line"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    rows = spark.read.text(path).select(F.split("value", "\t").alias("c"), place.alias("line"))
     return rows.filter(F.size("c") >= least)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import location_label, nearest_city
+from ..functions.rowwise import map_rows
+from ..functions.text import detect_media_type
+
 #: Fixed path marks, in order of precedence.
 MARKS = ("/DCIM/", "/Pictures/", "/Download/", "/Documents/")
 
@@ -40,10 +44,19 @@ def live_paths(media: DataFrame | None, folders: Iterable[str] = ()) -> DataFram
 
 
 def photo_row(media: DataFrame) -> DataFrame:
-    """Listing rows as photo rows: milliseconds, folders without their last slash, dates with their fallback."""
+    """Listing rows as photo rows: milliseconds, folders without their last slash, dates with their fallback, sizes and media type.
+
+    Sides of 0 and less are unknown; a listing without some of width, height,
+    orientation, size_bytes and mime gives nulls for them.
+    """
     folder = F.rtrim(F.col("relative_path"), F.lit("/"))
     modified = F.col("modified_s") * 1000
+    has = lambda c, kind: F.col(c).cast(kind) if c in media.columns else F.lit(None).cast(kind)
+    side = lambda c: F.when(has(c, "int") > 0, has(c, "int"))
+    nothing = F.lit(None).cast("string")
     return media.select(
+        side("width").alias("width"), side("height").alias("height"), F.coalesce(has("orientation", "int"), F.lit(0)).alias("orientation"), has("size_bytes", "long").alias("file_size"), has("mime", "string").alias("mime_type"),
+        detect_media_type(F.col("file_name"), folder, side("width"), side("height"), nothing, nothing).alias("media_type"),
         "id", "file_path", "file_name", modified.alias("file_last_modified"), F.coalesce(folder, F.lit("")).alias("folder_path"), folder.alias("relative_path"),
         F.when(F.col("taken_ms") > 0, F.col("taken_ms")).otherwise(modified).alias("date_taken"), (F.col("added_s") * 1000).alias("date_added"),
         F.coalesce(F.col("favorite") == 1, F.lit(False)).alias("is_favorite"),
@@ -59,6 +72,41 @@ def extract_relative_path(path: Column) -> Column:
     return out
 
 
+EXIF = "id long, latitude double, longitude double, camera_make string, camera_model string, orientation int, failed boolean, raised boolean"
+
+
+def metadata_batch(photos: DataFrame, cities: DataFrame, load: Callable[[], Callable[[str], dict]]) -> DataFrame:
+    """Photos after a run over those that need metadata: decoded, named after the nearest city, and with their media type.
+
+    ``load`` opens a decoder once a task; its callable maps a path to latitude,
+    longitude, camera_make, camera_model and orientation. A row whose decoding
+    raises stays as it is, so the next run tries it again.
+    """
+    queue = photos.filter(~F.col("is_metadata_extracted")).select("id", "file_path")
+
+    def opened() -> Callable[[int, str], tuple]:
+        decode = load()
+
+        def one(photo: int, path: str) -> tuple:
+            try:
+                x = decode(path)
+                return photo, x.get("latitude"), x.get("longitude"), x.get("camera_make"), x.get("camera_model"), x.get("orientation"), bool(x.get("failed")), False
+            except Exception:  # retried by the next run
+                return photo, None, None, None, None, None, True, True
+
+        return one
+
+    exif = map_rows(queue, opened, EXIF).filter(~F.col("raised")).persist()
+    after = metadata_update(photos, exif)
+    read = exif.select("id", F.lit(True).alias("__read"))
+    after = after.join(read, "id", "left")
+    near = nearest_city(after.filter("__read"), cities).select("id", location_label(F.col("city_name"), F.col("country_code")).alias("__label"))
+    after = after.join(near, "id", "left")
+    kind = detect_media_type(F.col("file_name"), F.col("folder_path"), F.col("width"), F.col("height"), F.col("camera_make"), F.col("camera_model"))
+    new = {"location_name": F.coalesce("__label", "location_name"), "media_type": F.when(F.col("__read"), kind).otherwise(F.col("media_type")).cast("int")}
+    return after.select(*(new[c].alias(c) if c in new else F.col(c) for c in photos.columns))
+
+
 def metadata_update(photos: DataFrame, exif: DataFrame) -> DataFrame:
     """Photos with decoded metadata (id, latitude, longitude, make, model, orientation; ``failed``).
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import global_rank
+from ..functions.rowwise import map_rows
 from ..operators import ingest, mutate
 from ..operators import photos as ph
 
@@ -29,13 +31,18 @@ def apply_batch(batch: DataFrame, tables: Tables) -> None:
     Applying a batch twice changes nothing more, so a repeated micro-batch is safe.
     """
     spark = batch.sparkSession
+    for path in (tables.photos, tables.analyses, tables.faces):
+        mutate.recover(spark, path)
     stored = spark.read.parquet(tables.photos)
-    batch = batch.dropDuplicates(["id"])
+    batch = mutate.one_of_each(batch, ["id"], ["file_last_modified", "file_size", "file_path"])
     changed = ingest.modified_ids(batch, stored).select(F.col("id").alias("photo_id"))
     new = ingest.photos_to_upsert(batch, stored)
+    # a path that comes back under another id replaces its old row
+    moved = stored.join(new.select("file_path", F.col("id").alias("__new")), "file_path").filter(F.col("id") != F.col("__new")).select("id")
+    gone = changed.unionByName(moved.select(F.col("id").alias("photo_id")))
     for path in (tables.analyses, tables.faces):
-        mutate.swap(mutate.delete_keys(spark.read.parquet(path), changed, ["photo_id"]), path)
-    mutate.swap(mutate.upsert(stored, new, ["id"]), tables.photos)
+        mutate.swap(mutate.delete_keys(spark.read.parquet(path), gone, ["photo_id"]), path)
+    mutate.swap(mutate.upsert(mutate.delete_keys(stored, moved, ["id"]), new, ["id"]), tables.photos)
 
 
 def sync_stream(listing: DataFrame, tables: Tables, checkpoint: str):
@@ -46,7 +53,7 @@ def sync_stream(listing: DataFrame, tables: Tables, checkpoint: str):
 def sync(listing: DataFrame, live: DataFrame | None, tables: Tables) -> None:
     """A whole sync: upserts, then deletes with their children unless the live set is unknown."""
     spark = listing.sparkSession
-    apply_batch(listing, tables)
+    apply_batch(listing, tables)  # after ``recover``
     gone = ingest.paths_to_delete(spark.read.parquet(tables.photos), live)
     ids = spark.read.parquet(tables.photos).join(gone, "file_path", "left_semi").select(F.col("id").alias("photo_id"))
     for path in (tables.analyses, tables.faces):
@@ -82,6 +89,46 @@ def run_analysis(photos: DataFrame, analyses: DataFrame, kind: str, model: str,
     return queue.mapInPandas(run, ANALYSIS)
 
 
+FOUND = "box_left double, box_top double, box_right double, box_bottom double, confidence double, embedding array<float>"
+
+
+def index_faces(photos: DataFrame, analyses: DataFrame, faces: DataFrame, model: str, load: Callable[[], Callable[[str], Sequence[dict]]], now: int) -> tuple[DataFrame, DataFrame]:
+    """(analyses, faces) after a face analysis of the visible photos that lack one.
+
+    ``load`` opens the models once a task; its callable maps a path to found
+    faces (box_*, confidence, embedding). The faces of an analysed photo are
+    deleted and its new ones inserted, with ids behind the largest; the analysis
+    says how many, or ``error: ...`` with the faces left as they were.
+    """
+    queue = ph.missing_analysis(photos, analyses, "faces", model).select(F.col("id").alias("photo_id"), "file_path")
+
+    def opened() -> Callable[[int, str], tuple]:
+        analyse = load()
+
+        def one(photo: int, path: str) -> tuple:
+            try:
+                return photo, None, [dict(f) for f in analyse(path)]
+            except Exception as e:  # a photo that can't be analysed is recorded, not retried for ever
+                return photo, f"error: {str(e)[:200]}", []
+
+        return one
+
+    got = map_rows(queue, opened, f"photo_id long, error string, found array<struct<{', '.join(x.replace(' ', ':', 1) for x in FOUND.split(', '))}>>").persist()
+    result = F.coalesce("error", F.size("found").cast("string"))
+    rows = got.select("photo_id", F.lit("faces").alias("analysis_type"), F.lit(model).alias("model_name"), result.alias("text_result"), F.lit(now).cast("long").alias("created_at"))
+    for c, kind in analyses.dtypes:
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    done = got.filter("error is null").select("photo_id")
+    new = got.select("photo_id", F.posexplode("found").alias("__pos", "__face")).select("photo_id", "__pos", "__face.*")
+    top = faces.agg(F.coalesce(F.max("id"), F.lit(0)).alias("t")).first().t
+    new = global_rank(new, [F.asc("photo_id"), F.asc("__pos")], "__rank").withColumn("id", (F.col("__rank") + top).cast("long"))
+    for c, kind in faces.dtypes:
+        new = new.withColumn(c, F.col(c).cast(kind) if c in new.columns else F.lit(None).cast(kind))
+    kept = mutate.delete_keys(faces, done, ["photo_id"])
+    return mutate.upsert(analyses, rows, ["photo_id", "analysis_type", "model_name"]), kept.unionByName(new.select(*faces.columns))
+
+
 def reindex(analyses: DataFrame, kind: str) -> DataFrame:
     """Analyses without those of a type, so that its queue holds every photo again."""
     return mutate.delete_where(analyses, F.col("analysis_type") == kind)

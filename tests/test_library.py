@@ -148,6 +148,75 @@ def test_upsert_algebra(spark):
         mutate.insert_abort(t, n, ["id"]).collect()
 
 
+def test_keys_repeated_in_a_batch(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    n = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 2), (3, "f", 1), (None, "x", 1), (None, "y", 1)], "id long, v string, seq int")
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert rows(mutate.upsert(t, n, ["id"], ["seq"])) == rows(spark.createDataFrame([(1, "a"), (2, "d"), (3, "e"), (None, "x"), (None, "y")], "id long, v string"))
+    assert rows(mutate.insert_ignore(t, n, ["id"], ["seq"])) == rows(spark.createDataFrame([(1, "a"), (2, "b"), (3, "f"), (None, "x"), (None, "y")], "id long, v string"))
+    assert rows(mutate.upsert(t, n.drop("seq"), ["id"])) == rows(mutate.upsert(t, n.drop("seq").repartition(3), ["id"]))
+
+
+def test_a_stopped_swap_is_recovered(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    spark.range(5).write.parquet(path + ".new")
+    mutate.recover(spark, path)
+    assert spark.read.parquet(path).count() == 5  # the new table was whole
+    (tmp_path / "t").rename(tmp_path / "t.lost")
+    (tmp_path / "t.new").mkdir()
+    mutate.recover(spark, path)
+    assert spark.read.parquet(path).count() == 3  # it wasn't: the old one
+    mutate.swap(spark.range(7), path)
+    mutate.recover(spark, path)
+    assert spark.read.parquet(path).count() == 7 and not (tmp_path / "t.old").exists()
+
+
+def test_metadata_that_raises_is_tried_again(spark, data):
+    from prismalake.queries.scans import PHOTO, decoder
+    from prismalake.sources.media import metadata_batch
+
+    g = Gallery(spark, data)
+    once = metadata_batch(g.photos.select(*PHOTO), g.cities, decoder)
+    left = {r.id for r in once.filter("not is_metadata_extracted").collect()}
+    assert left and all(i % 10 == 6 for i in left)
+    again = metadata_batch(once, g.cities, lambda: lambda path: {"latitude": 1.0, "longitude": 1.0})
+    assert again.filter("not is_metadata_extracted").count() == 0
+
+
+def test_faces_stream_through_in_order(spark):
+    """Batches of one row each give what one pass over everything gives."""
+    from prismalake.plans.faces import assign_new_faces
+
+    rng = np.random.default_rng(3)
+    rows = [(k, k // 3, [float(x) for x in rng.normal(size=4)], 0.9, 1.0) for k in range(40)]
+    faces = spark.createDataFrame(rows, "id long, photo_id long, embedding array<float>, quality double, weight double").repartition(5)
+    want, at, now = [], 1, State()
+    for photo in range(14):
+        part = [{"embedding": r[2], "quality": r[3], "weight": r[4]} for r in rows if r[1] == photo]
+        got, at = assign_photo(now, part, next_id=at)
+        want += [x["person_id"] for x in got]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = sorted(assign_new_faces(faces, State()).collect(), key=lambda r: r.id)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r.person_id for r in got] == want
+
+
+def test_sitting():
+    s = search.Sitting()
+    first = s.submit("beach")
+    assert s.remove_filter("dates") == first + 1 and s.remove_person(4) == first + 2
+    assert not s.arrived(first, "late") and s.arrived(first + 2, "now") and s.result == "now"
+    s.submit("other")
+    assert s.use == search.FILTERS and not s.removed_persons
+    s.submit(" ")
+    assert s.result is None and s.run(None, date(2026, 7, 6)) is None
+
+
 def test_sync(spark, tmp_path):
     cols = "id long, file_path string, file_size long, file_last_modified long"
     paths = sync.Tables(*(str(tmp_path / x) for x in ("photos", "analyses", "faces")))
@@ -160,6 +229,11 @@ def test_sync(spark, tmp_path):
     assert [r.photo_id for r in spark.read.parquet(paths.faces).collect()] == [1]
     sync.sync(listing, None, paths)
     assert spark.read.parquet(paths.photos).count() == 3
+    # a path under another id, and an older state of the same photo in the same batch
+    moved = spark.createDataFrame([(9, "u1", 10, 1), (2, "u2", 50, 0), (2, "u2", 77, 5)], cols)
+    sync.sync(moved, None, paths)
+    assert sorted((r.id, r.file_path, r.file_size) for r in spark.read.parquet(paths.photos).collect()) == [(2, "u2", 77), (4, "u4", 1), (9, "u1", 10)]
+    assert spark.read.parquet(paths.faces).count() == 0
 
 
 def test_stream(spark, tmp_path):
