@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,12 +9,10 @@ from pyspark.sql import Window as W
 from ..shared import shared_dir
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that all executors share."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ranked-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder that all executors share; Spark's cleaner may remove it when nothing refers to it."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -26,7 +22,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     range is the sum of the earlier ranges' counts, a row a partition. The dealt
     rows are kept first, since a repeated sampling could deal them otherwise.
     """
-    dealt = _kept(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    dealt = kept(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("__part", before.alias("__before"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -32,7 +32,7 @@ COUNTRY_NAMES = {
 
 @dataclass(frozen=True)
 class Library:
-    """The tables a search reads."""
+    """The tables a search reads. Names of persons, cities and countries that the parser needs are looked up once a library."""
 
     photos: DataFrame
     faces: DataFrame
@@ -40,6 +40,12 @@ class Library:
     persons: DataFrame
     cities: DataFrame
     aliases: DataFrame
+    known: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def once(self, name: str, look_up: Callable[[], object]) -> object:
+        if name not in self.known:
+            self.known[name] = look_up()
+        return self.known[name]
 
 
 @dataclass(frozen=True)
@@ -145,10 +151,10 @@ def search(
     A filter that isn't in ``use``, or a removed person, constrains nothing, and
     its words don't return to the text.
     """
-    persons = [Person(r.id, r.name) for r in lib.persons.filter("name is not null").select("id", "name").orderBy("id").collect()]
+    persons = lib.once("persons", lambda: [Person(r.id, r.name) for r in lib.persons.filter("name is not null").select("id", "name").orderBy("id").collect()])
     people, rest = extract_persons(query, persons)
     translated = translate(rest) if translate and rest.strip() else None
-    cities, countries = known_places(lib)
+    cities, countries = lib.once("places", lambda: known_places(lib))
     p = parse(translated if translated is not None else rest, today, cities, (), countries, zone)
     gone = set(removed_persons)
     p = replace(p, persons=tuple(x for x in people if x.id not in gone), **{f: None for f in ("dates", "place", "kind", "country") if f not in use})

@@ -18,7 +18,7 @@ from ..plans import actions, inference, search
 from ..plans import query_parser as qp
 from ..shared import shared_dir
 from ..sources import exports
-from ..sources.models import ModelConfig
+from ..sources.models import ModelConfig, activation
 from ..streaming import sync
 from . import register
 from .mutations import with_centroids
@@ -66,10 +66,10 @@ def nations(g, *columns):
 
 def missing(g):
     """Searches by an encoder that knows a language or not, with a translator that knows some words only."""
-    rows = []
+    rows, lib = [], LIB(g)
     for r in g.spark.read.parquet(f"{g.dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("k"), "r_name").collect():  # one search a region: five
         known, translated = r.k % 2 == 0, r.k % 3 == 0
-        got = search.search(LIB(g), r.r_name, date(2026, 7, 6), translate=lambda t, ok=translated: f"{t} x" if ok else None, encoder_knows_language=known)
+        got = search.search(lib, r.r_name, date(2026, 7, 6), translate=lambda t, ok=translated: f"{t} x" if ok else None, encoder_knows_language=known)
         rows.append((r.k, got.translation_missing, got.translated))
     return g.spark.createDataFrame(rows, "k long, missing boolean, translated string")
 
@@ -347,6 +347,72 @@ register(
     """WITH c AS (SELECT id, (id % 256 / CAST(255 AS DOUBLE) - 0.5) / 0.5 + 2 AS r, (id * 7 % 256 / CAST(255 AS DOUBLE) - 0.5) / 0.5 + 3 AS v FROM photos)
        SELECT id, round(r / sqrt(r * r + v * v), 5) AS x, round(v / sqrt(r * r + v * v), 5) AS y FROM c""",
 )
+
+
+def shouting(k: int, name: str) -> tuple:
+    """A model that spells a text in capitals, behind its language gate, and breaks on names that end in 3."""
+
+    def step(state, ids):
+        if name.endswith("3"):
+            raise OSError("broken")
+        out = np.zeros(200)
+        out[int(state[len(ids) - 1]) if len(ids) <= len(state) else 1] = 1
+        return out
+
+    t = inference.Translator(PROMPTED, ["fr", "DE"], "en", lambda s: np.array([ord(c) for c in s.upper()]), step, lambda ids: "".join(map(chr, ids)))
+    return k, t.translate(name.lower(), ("fr", "de", "es")[k % 3], ("EN",) if k % 2 else ())
+
+
+register("translate", lambda g: map_rows(nations(g, "n_name"), lambda: shouting, "k long, text string"), f"SELECT {K}, CASE WHEN n_nationkey % 3 < 2 AND right(n_name, 1) <> '3' THEN upper(n_name) END AS text FROM nation")
+
+
+def measured(i: int, left: float, top: float, right: float, bottom: float, score: float) -> tuple:
+    """Measures of a crop that is half black and half of one grey, turned and scaled as the box says."""
+    crop = np.zeros((8, 8, 3), np.uint8)
+    crop[:, 4:] = i % 200 + 50
+    face = {"score": score, "box": [left, top, right, bottom], "landmarks": [left, top, right, bottom, 0, 0, 0, 0, 0, 0]}
+    m = inference.face_metrics(crop, (1 + left, top, 0.0, 0.0), face)
+    return i, *(round(float(m[c]), 5) for c in ("detection", "scale", "roll", "blur", "mean", "std", "eye_distance", "edge_margin", "aspect"))
+
+
+register(
+    "face_metrics", lambda g: map_rows(g.faces.select("id", *fc.boxes(), "confidence"), lambda: measured, "id long, detection double, scale double, roll double, blur double, mean double, std double, eyes double, margin double, aspect double"),
+    """WITH m AS (SELECT *, CAST(id % 200 + 50 AS DOUBLE) AS v FROM faces)
+       SELECT id, round(confidence, 5) AS detection, round(sqrt((1 + box_left) ** 2 + box_top ** 2), 5) AS scale, round(degrees(atan2(box_top, 1 + box_left)), 5) AS roll, round(v * v / 3, 5) AS blur, round(v / 2, 5) AS mean, round(v / 2, 5) AS std,
+         round(sqrt((box_right - box_left) ** 2 + (box_bottom - box_top) ** 2), 5) AS eyes, round(least(box_left, box_top, 1 - box_right, 1 - box_bottom), 5) AS margin, round((box_right - box_left) / (box_bottom - box_top), 5) AS aspect FROM m""",
+    "faces",
+)
+
+
+def embedded(i: int) -> tuple:
+    """The session answers with the mean of red and 2: the crop's tensor is its colour on a scale from -1 to 1."""
+    v = inference.embed_face(np.full((4, 4, 3), i % 256, np.uint8), lambda x: {"out": np.array([[float(x["input"][:, 0].mean()), 2.0]])}, 2)
+    return i, round(float(v[0]), 5), round(float(v[1]), 5)
+
+
+register("embed_face", lambda g: map_rows(g.faces.select("id"), lambda: embedded, "id long, x double, y double"), "WITH c AS (SELECT id, (id % 256 / CAST(255 AS DOUBLE) - 0.5) / 0.5 AS c FROM faces) SELECT id, round(c / sqrt(c * c + 4), 5) AS x, round(2 / sqrt(c * c + 4), 5) AS y FROM c", "faces")
+
+
+def canvas(i: int, width: int, height: int) -> tuple:
+    """Where a white picture lies on the detector's black square."""
+    got, w, h = inference.detection_canvas(np.full((height, width, 3), 255, np.uint8), 48)
+    return i, w, h, int((got[:, :, 0] == 255).sum()), got.shape[0]
+
+
+register(
+    "detection_canvas", lambda g: map_rows(g.photos.filter("width is not null and height is not null").select("id", (F.col("width") % 90 + 10).cast("int"), (F.col("height") % 90 + 10).cast("int")), lambda: canvas, "id long, w long, h long, lit long, side long"),
+    """WITH s AS (SELECT id, width % 90 + 10 AS w, height % 90 + 10 AS h FROM photos WHERE width IS NOT NULL AND height IS NOT NULL), f AS (SELECT id, CAST(greatest(1, round_even(w * (48 / greatest(w, h)), 0)) AS BIGINT) AS w, CAST(greatest(1, round_even(h * (48 / greatest(w, h)), 0)) AS BIGINT) AS h FROM s)
+       SELECT id, w, h, w * h AS lit, CAST(48 AS BIGINT) AS side FROM f""",
+)
+
+
+def policies(g):
+    """What choosing each model would do; a choice is one model's, so this asks once a model."""
+    rows = [(r.id, activation(g.models, r.id)[0]) for r in g.models.select("id").collect()]
+    return g.spark.createDataFrame(rows, "id long, policy string")
+
+
+register("model_activation_policy", policies, "SELECT id, CASE WHEN is_active THEN 'none' WHEN model_type IN ('clip', 'face_detection', 'face_embedding') THEN 'confirm' ELSE 'activate' END AS policy FROM ai_models", "ai_models")
 TOY = tk.Unigram([("<unk>", 0.0), ("▁IMG", -1.0), ("_", -1.0), *((c, -2.0) for c in "0123456789.jpg")])
 
 
