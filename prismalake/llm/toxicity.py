@@ -31,7 +31,7 @@ MIN_SUPPORT, MIN_ODDS = 3, 20.0
 CHANCE = 0.05
 STEM_LENGTHS = (4, 5, 6)
 WINDOW = 8
-#: Words before or behind a hit among which a reporting word counts, and neighbours of a term that have to differ.
+#: Words before or behind a hit among which a reporting word counts, and places around a term at two of which words have to differ.
 REPORTED_WITHIN, NEIGHBOURS = 3, (-4, -1, 1, 4)
 
 #: A word: letters and digits with the signs that stand for letters in disguised words.
@@ -242,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lex
     its largest label. About ``max_train`` rows are read, chosen by a hash. Words
     are counted by distinct contexts (words around them), so a text copied a
     thousand times counts once; a term must also have as many different words at
-    each of the places around it, which near copies of one text don't show.
+    two of the places around it, which near copies of one text don't show.
     Terms and near words are as many as the bounded sample has, without a cap of
     their own. Empty tables teach nothing.
     """
@@ -279,7 +279,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lex
     likely = cut(words.filter(strong & (F.length("word") >= 4)))
     differ = [F.count_distinct(F.coalesce(x, F.lit(""))).alias(f"n{k}") for k, x in enumerate(around)]
     met = at.filter("toxic = 1").join(few(likely.select("word")), "word").groupBy("word").agg(*differ)
-    terms = likely.join(met.filter(F.least(*(f"n{k}" for k in range(len(differ)))) >= least).select("word"), "word").collect()
+    second = F.element_at(F.sort_array(F.array(*(f"n{k}" for k in range(len(differ)))), asc=False), 2)
+    terms = likely.join(met.filter(second >= least).select("word"), "word").collect()
     heads = words.filter(F.length("word") > min(STEM_LENGTHS)).select(
         F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, STEM_LENGTHS)), lambda k: F.substring("word", F.lit(1), k)))).alias("word"), "t", "c"
     )
