@@ -28,6 +28,7 @@ Which points meet in one tree:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -131,8 +132,8 @@ class RTree:
         return nodes[7 * bound(self.points[nodes], self.points[k]) >= 3 * (self.sizes[nodes] + n)]
 
 
-def unit_links(side: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between different components of a unit, as places; none joins what others have joined already.
+def unit_links(side: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], every: bool = False) -> list[tuple[int, int]]:
+    """Links between different components of a unit, as places; none joins what others have joined already, unless ``every`` link is asked for.
 
     Points of one side only meet each other; of two sides only the other one's.
     Survivors of the tree are verified on the whole sets by the places at which
@@ -158,6 +159,9 @@ def unit_links(side: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> l
         n = held[own]
         at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         near = near[linked(sizes[near], sizes[k], np.bincount(owner[at], minlength=len(sizes))[near])]
+        if every:
+            found += [(int(order[k]), int(order[j])) for j in near]
+            continue
         joined, first = np.unique(group[near], return_index=True)
         found += [(int(order[k]), int(order[j])) for j in near[first]]
         group[np.isin(group, joined)] = group[k]
@@ -371,8 +375,8 @@ def units(members: DataFrame) -> DataFrame:
     return small.unionByName(dealt.select("unit", "side", "cls", "comp", "n"))
 
 
-def tree_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between components that the R-trees of the units find, verified on the whole sets."""
+def tree_links(members: DataFrame, sets: DataFrame, every: bool = False) -> DataFrame:
+    """Links (a, b) between components that the R-trees of the units find, verified on the whole sets; see ``unit_links``."""
     work = cut(units(members))
     held = work.agg(F.sum(F.col("n") + ROW_WEIGHT)).first()[0] or 0
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TILE))
@@ -381,7 +385,7 @@ def tree_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(rows: list[tuple]) -> list[tuple[int, int]]:
             side, ids, comps = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-            return [(ids[x], ids[y]) for x, y in unit_links(side, comps, [np.frombuffer(r[3], np.uint64) for r in rows])]
+            return [(ids[x], ids[y]) for x, y in unit_links(side, comps, [np.frombuffer(r[3], np.uint64) for r in rows], every)]
 
         unit, rows, found = None, [], []
         for b in batches:
@@ -405,8 +409,18 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
 
 
-def linked_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``classes``, and (cls, comp, component_id) of every class: comp tells components apart, component_id is the smallest id."""
+@dataclass
+class Candidates:
+    """What may link: rows of ``classes``; a row a class (n, rep); those that share enough hashes (``kept``), their blocks and sets."""
+
+    rows: DataFrame
+    known: DataFrame
+    kept: DataFrame
+    live: DataFrame
+    sets: DataFrame
+
+
+def candidates(docs: DataFrame, width: int = WIDTH) -> Candidates:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = cut(classes(docs, width))
@@ -423,8 +437,13 @@ def linked_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     rank = F.row_number().over(W.partitionBy("cls").orderBy(F.desc("df"), "token"))
     live = shared.join(kept.select("cls", "n", "z"), "cls").withColumn("rank", rank).filter(F.col("rank") > spare)
     live = cut(live.select("token", "cls", "z"))
-    sets = bearers(docs, kept, width)
+    return Candidates(rows, known, kept, live, bearers(docs, kept, width))
+
 
+def linked_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``classes``, and (cls, comp, component_id) of every class: comp tells components apart, component_id is the smallest id."""
+    c = candidates(docs, width)
+    known, kept, live, sets = c.known, c.kept, c.live, c.sets
     hub = live.groupBy("token").agg(F.max(F.struct("z", "cls")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("token", F.col("hub.cls").alias("b"))
     star = live.join(hub, "token").filter("cls <> b").groupBy("cls", "b").agg(F.count("*").alias("m"))
     star = star.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("m", "b")).alias("best")).select("a", "best.b")
@@ -435,7 +454,29 @@ def linked_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
 
     named = known.join(comps.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep.doc_id").alias("component_id"))
-    return rows, named.join(smallest, "comp").select("cls", "comp", "component_id")
+    return c.rows, named.join(smallest, "comp").select("cls", "comp", "component_id")
+
+
+def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Every link: the rows of ``classes``, which tell who belongs to a class, and the pairs (a, b) of linked classes, a < b.
+
+    Pairs are as many as there are links between different sets, so of a group of
+    m near copies up to m * m / 2; ``join`` needs fewer.
+    """
+    c = candidates(docs, width)
+    alone = c.live.sparkSession.createDataFrame([], "v long, comp long")
+    found = tree_links(cut(groups(c.live.select("token", "cls"), alone, c.kept)), c.sets, every=True)
+    return c.rows, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def link_counts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_links) of every row: the other rows that it links with, equal sets included; see ``join`` for odd rows."""
+    rows, pairs = links(docs, width)
+    size = cut(rows.filter("cls is not null").groupBy("cls").agg(F.count("*").alias("size")))
+    both = pairs.union(pairs.select("b", "a"))
+    other = both.join(size.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("size").alias("other"))
+    counts = size.join(other, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("other", F.lit(0))).alias("n"))
+    return rows.join(counts, "cls", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
 def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -540,6 +540,10 @@ def test_components_equal_brute_force(spark, small, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(texts))] == comps
     kept = {r["doc_id"] for r in rows(ngram_join.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
     assert kept == set(comps)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := WORD.findall((t or "").translate(LOWER))) else set() for t in texts]
+    linked = [sum(bool(a & b) and 100 * len(a & b) >= 75 * len(a | b) for b in sets) - bool(a) for a in sets]
+    got = {r["doc_id"]: r["n_links"] for r in rows(ngram_join.link_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))}
+    assert [got[i] for i in range(len(texts))] == linked
 
 
 def test_one_group_of_near_copies(spark, monkeypatch):
