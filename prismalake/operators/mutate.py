@@ -122,15 +122,17 @@ def activate_model(models: DataFrame, model_id: int) -> DataFrame:
     return joined.withColumn("is_active", F.when(F.col("__t").isNotNull(), F.col("id") == model_id).otherwise(F.col("is_active"))).select(*models.columns)
 
 
-def _places(spark: SparkSession, path: str) -> tuple:
+def places(spark: SparkSession, path: str) -> tuple:
+    """The file system of a table, where its next and its last state lie while they are swapped (names that readers skip), and the table."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path
     now = jpath(path)
-    return now.getFileSystem(spark._jsc.hadoopConfiguration()), jpath(path + ".new"), jpath(path + ".old"), now
+    beside = lambda what: jpath(now.getParent(), f"_{now.getName().replace('=', '-')}.{what}")
+    return now.getFileSystem(spark._jsc.hadoopConfiguration()), beside("new"), beside("old"), now
 
 
 def recover(spark: SparkSession, path: str) -> None:
     """Finish a ``swap`` that was stopped between its renames: the new table if it was whole, else the old one."""
-    fs, new, old, now = _places(spark, path)
+    fs, new, old, now = places(spark, path)
     if not fs.exists(now):
         whole = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(new, "_SUCCESS"))
         if whole or fs.exists(old):
@@ -143,11 +145,11 @@ def swap(df: DataFrame, path: str) -> None:
     Stopped between them, the table is missing until ``recover`` puts it back;
     what reads the tables of a sync calls that first.
     """
-    fs, new, old, now = _places(df.sparkSession, path)
-    df.write.mode("overwrite").parquet(path + ".new")
+    fs, new, old, now = places(df.sparkSession, path)
+    df.write.mode("overwrite").parquet(new.toString())
     fs.delete(old, True)
     if fs.exists(now) and not fs.rename(now, old):
         raise OSError(f"{path} can't be moved")
     if not fs.rename(new, now):
-        raise OSError(f"{path}.new can't be moved")
+        raise OSError(f"{new.toString()} can't be moved")
     fs.delete(old, True)

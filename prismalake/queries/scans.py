@@ -21,13 +21,13 @@ PHOTO = (
 FACE = ("id", "photo_id", "person_id", "embedding", "assignment_type", "confidence", "box_left", "box_top", "box_right", "box_bottom")
 
 
-def written(g):
+def written(g, buckets: int = 0):
     """The gallery's tables in a folder of their own, as a sync expects them."""
     folder = f"{shared_dir(g.spark)}/library-{uuid.uuid4().hex}"
-    tables = sync.Tables(f"{folder}/photos", f"{folder}/analyses", f"{folder}/faces")
-    g.photos.select(*PHOTO).write.parquet(tables.photos)
-    g.analyses.write.parquet(tables.analyses)
-    g.faces.select(*FACE).write.parquet(tables.faces)
+    tables = sync.Tables(f"{folder}/photos", f"{folder}/analyses", f"{folder}/faces", buckets)
+    tables.write(g.photos.select(*PHOTO), tables.photos, "id")
+    tables.write(g.analyses, tables.analyses, "photo_id")
+    tables.write(g.faces.select(*FACE), tables.faces, "photo_id")
     return tables
 
 
@@ -41,8 +41,8 @@ def listing(g):
     return rows.select(*PHOTO).unionByName(stale.select(*PHOTO))
 
 
-def synced(g):
-    tables = written(g)
+def synced(g, buckets: int = 0):
+    tables = written(g, buckets)
     sync.sync(listing(g), g.live.select("file_path"), tables)
     return tables
 
@@ -52,7 +52,7 @@ GONE = """gone AS (SELECT p.id FROM photos p LEFT JOIN live_media l ON l.file_pa
     WHERE CASE WHEN l.id IS NULL THEN p.id NOT IN (SELECT id FROM live_media) ELSE l.id <> p.id OR l.file_size <> p.file_size OR l.file_last_modified <> p.file_last_modified END)"""
 read = lambda g, path: g.spark.read.parquet(path)
 register("sync_photos", lambda g: read(g, synced(g).photos).select("id", "file_path", "file_size", "file_last_modified"), "SELECT id, file_path, file_size, file_last_modified FROM live_media", "photos live_media")
-register("sync_photos_children", lambda g: read(g, synced(g).faces).select("id", "photo_id"), f"WITH {GONE} SELECT id, photo_id FROM faces WHERE photo_id NOT IN (SELECT id FROM gone)", "photos live_media faces")
+register("sync_photos_children", lambda g: read(g, synced(g, 4).faces).select("id", "photo_id"), f"WITH {GONE} SELECT id, photo_id FROM faces WHERE photo_id NOT IN (SELECT id FROM gone)", "photos live_media faces")
 
 
 def discovered(g):
@@ -62,9 +62,8 @@ def discovered(g):
     def step() -> None:
         if not tries:
             tries.append(1)
-            path = g.spark._jvm.org.apache.hadoop.fs.Path
-            fs = path(tables.photos).getFileSystem(g.spark._jsc.hadoopConfiguration())
-            fs.rename(path(tables.photos), path(tables.photos + ".old"))
+            fs, _, old, now = mutate.places(g.spark, tables.photos)
+            fs.rename(now, old)
             raise OSError("stopped")
         sync.sync(listing(g), None, tables)
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranking import global_rank
+from ..functions.ranking import global_rank, kept
 from ..functions.rowwise import map_rows
 from ..operators import ingest, mutate
 from ..operators import photos as ph
@@ -18,11 +18,54 @@ RETRIES = 3
 
 @dataclass
 class Tables:
-    """Folders of the tables that a sync changes."""
+    """Folders of the tables that a sync changes, each whole or in ``buckets`` folders by the photo's id, so that a batch rewrites those it touches."""
 
     photos: str
     analyses: str
     faces: str
+    buckets: int = 0
+
+    def keys(self) -> tuple[tuple[str, str], ...]:
+        return (self.analyses, "photo_id"), (self.faces, "photo_id"), (self.photos, "id")
+
+    def bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(max(self.buckets, 1))).cast("int")
+
+    def read(self, spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.parquet(path).drop(BUCKET) if self.buckets else spark.read.parquet(path)
+
+    def write(self, df: DataFrame, path: str, key: str) -> None:
+        """A new table."""
+        if self.buckets:
+            df.withColumn(BUCKET, self.bucket(key)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(path)
+        else:
+            df.write.parquet(path)
+
+    def recover(self, spark: SparkSession) -> None:
+        for path, _ in self.keys():
+            for k in range(self.buckets or 1):
+                mutate.recover(spark, f"{path}/{BUCKET}={k}" if self.buckets else path)
+
+    def change(self, path: str, key: str, touched: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Swap the buckets of the ``touched`` keys: ``change`` maps their rows and those of ``touched`` to the new rows."""
+        spark = touched.sparkSession
+        if not self.buckets:
+            mutate.swap(change(spark.read.parquet(path), touched), path)
+            return
+        whole = self.read(spark, path)
+        of = touched.withColumn(BUCKET, self.bucket(key))
+        for k in sorted(r[0] for r in of.select(BUCKET).distinct().collect()):  # at most ``buckets``
+            part = f"{path}/{BUCKET}={k}"
+            fs, _, _, now = mutate.places(spark, part)
+            old = spark.read.parquet(part) if fs.exists(now) else whole.limit(0)
+            mutate.swap(change(old, of.filter(F.col(BUCKET) == k).drop(BUCKET)), part)
+
+
+BUCKET = "bucket"
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return mutate.delete_keys(rows, gone, gone.columns)
 
 
 def apply_batch(batch: DataFrame, tables: Tables) -> None:
@@ -31,18 +74,19 @@ def apply_batch(batch: DataFrame, tables: Tables) -> None:
     Applying a batch twice changes nothing more, so a repeated micro-batch is safe.
     """
     spark = batch.sparkSession
-    for path in (tables.photos, tables.analyses, tables.faces):
-        mutate.recover(spark, path)
-    stored = spark.read.parquet(tables.photos)
+    tables.recover(spark)
+    stored = tables.read(spark, tables.photos)
     batch = mutate.one_of_each(batch, ["id"], ["file_last_modified", "file_size", "file_path"])
-    changed = ingest.modified_ids(batch, stored).select(F.col("id").alias("photo_id"))
-    new = ingest.photos_to_upsert(batch, stored)
+    # kept, as the tables that they are worked out from change one after another
+    new = kept(ingest.photos_to_upsert(batch, stored).select(*stored.columns))
     # a path that comes back under another id replaces its old row
-    moved = stored.join(new.select("file_path", F.col("id").alias("__new")), "file_path").filter(F.col("id") != F.col("__new")).select("id")
-    gone = changed.unionByName(moved.select(F.col("id").alias("photo_id")))
-    for path in (tables.analyses, tables.faces):
-        mutate.swap(mutate.delete_keys(spark.read.parquet(path), gone, ["photo_id"]), path)
-    mutate.swap(mutate.upsert(mutate.delete_keys(stored, moved, ["id"]), new, ["id"]), tables.photos)
+    moved = kept(stored.join(new.select("file_path", F.col("id").alias("__new")), "file_path").filter(F.col("id") != F.col("__new")).select("id"))
+    changed = ingest.modified_ids(batch, stored).unionByName(moved).distinct()
+    gone = kept(changed.select(F.col("id").alias("photo_id")))
+    for path, key in tables.keys()[:2]:
+        tables.change(path, key, gone, _without)
+    tables.change(tables.photos, "id", moved, _without)
+    tables.change(tables.photos, "id", new, lambda rows, more: mutate.upsert(rows, more, ["id"]))
 
 
 def sync_stream(listing: DataFrame, tables: Tables, checkpoint: str):
@@ -53,12 +97,12 @@ def sync_stream(listing: DataFrame, tables: Tables, checkpoint: str):
 def sync(listing: DataFrame, live: DataFrame | None, tables: Tables) -> None:
     """A whole sync: upserts, then deletes with their children unless the live set is unknown."""
     spark = listing.sparkSession
-    apply_batch(listing, tables)  # after ``recover``
-    gone = ingest.paths_to_delete(spark.read.parquet(tables.photos), live)
-    ids = spark.read.parquet(tables.photos).join(gone, "file_path", "left_semi").select(F.col("id").alias("photo_id"))
-    for path in (tables.analyses, tables.faces):
-        mutate.swap(mutate.delete_keys(spark.read.parquet(path), ids, ["photo_id"]), path)
-    mutate.swap(spark.read.parquet(tables.photos).join(gone, "file_path", "left_anti"), tables.photos)
+    apply_batch(listing, tables)
+    stored = tables.read(spark, tables.photos)
+    gone = ingest.paths_to_delete(stored, live)
+    ids = kept(stored.join(gone, "file_path", "left_semi").select("id"))
+    for path, key in tables.keys():
+        tables.change(path, key, ids.select(F.col("id").alias(key)), _without)
 
 
 ANALYSIS = "photo_id long, analysis_type string, model_name string, text_result string, embedding array<float>, embedding_dim int, created_at long, duration_ms long"

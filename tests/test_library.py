@@ -160,17 +160,17 @@ def test_keys_repeated_in_a_batch(spark):
 def test_a_stopped_swap_is_recovered(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(3).write.parquet(path)
-    (tmp_path / "t").rename(tmp_path / "t.old")
-    spark.range(5).write.parquet(path + ".new")
+    (tmp_path / "t").rename(tmp_path / "_t.old")
+    spark.range(5).write.parquet(str(tmp_path / "_t.new"))
     mutate.recover(spark, path)
     assert spark.read.parquet(path).count() == 5  # the new table was whole
     (tmp_path / "t").rename(tmp_path / "t.lost")
-    (tmp_path / "t.new").mkdir()
+    (tmp_path / "_t.new").mkdir()
     mutate.recover(spark, path)
     assert spark.read.parquet(path).count() == 3  # it wasn't: the old one
     mutate.swap(spark.range(7), path)
     mutate.recover(spark, path)
-    assert spark.read.parquet(path).count() == 7 and not (tmp_path / "t.old").exists()
+    assert spark.read.parquet(path).count() == 7 and not (tmp_path / "_t.old").exists()
 
 
 def test_metadata_that_raises_is_tried_again(spark, data):
@@ -217,23 +217,37 @@ def test_sitting():
     assert s.result is None and s.run(None, date(2026, 7, 6)) is None
 
 
-def test_sync(spark, tmp_path):
+@pytest.mark.parametrize("buckets", [0, 5])
+def test_sync(spark, tmp_path, buckets):
     cols = "id long, file_path string, file_size long, file_last_modified long"
-    paths = sync.Tables(*(str(tmp_path / x) for x in ("photos", "analyses", "faces")))
-    spark.createDataFrame([(1, "u1", 10, 1), (2, "u2", 10, 1), (3, "u3", 10, 1)], cols).write.parquet(paths.photos)
+    paths = sync.Tables(*(str(tmp_path / x) for x in ("photos", "analyses", "faces")), buckets)
+    paths.write(spark.createDataFrame([(1, "u1", 10, 1), (2, "u2", 10, 1), (3, "u3", 10, 1)], cols), paths.photos, "id")
     for p in (paths.analyses, paths.faces):
-        spark.createDataFrame([(1,), (2,), (3,)], "photo_id long").write.parquet(p)
+        paths.write(spark.createDataFrame([(1,), (2,), (3,)], "photo_id long"), p, "photo_id")
     listing = spark.createDataFrame([(1, "u1", 10, 1), (2, "u2", 99, 1), (4, "u4", 1, 1)], cols)
     sync.sync(listing, listing.select("file_path"), paths)
-    assert sorted(r.id for r in spark.read.parquet(paths.photos).collect()) == [1, 2, 4]
-    assert [r.photo_id for r in spark.read.parquet(paths.faces).collect()] == [1]
+    assert sorted(r.id for r in paths.read(spark, paths.photos).collect()) == [1, 2, 4]
+    assert [r.photo_id for r in paths.read(spark, paths.faces).collect()] == [1]
     sync.sync(listing, None, paths)
-    assert spark.read.parquet(paths.photos).count() == 3
+    assert paths.read(spark, paths.photos).count() == 3
     # a path under another id, and an older state of the same photo in the same batch
     moved = spark.createDataFrame([(9, "u1", 10, 1), (2, "u2", 50, 0), (2, "u2", 77, 5)], cols)
     sync.sync(moved, None, paths)
-    assert sorted((r.id, r.file_path, r.file_size) for r in spark.read.parquet(paths.photos).collect()) == [(2, "u2", 77), (4, "u4", 1), (9, "u1", 10)]
-    assert spark.read.parquet(paths.faces).count() == 0
+    assert sorted((r.id, r.file_path, r.file_size) for r in paths.read(spark, paths.photos).collect()) == [(2, "u2", 77), (4, "u4", 1), (9, "u1", 10)]
+    assert paths.read(spark, paths.faces).count() == 0
+
+
+def test_a_sync_leaves_other_buckets_alone(spark, tmp_path):
+    cols = "id long, file_path string, file_size long, file_last_modified long"
+    paths = sync.Tables(*(str(tmp_path / x) for x in ("photos", "analyses", "faces")), 8)
+    paths.write(spark.range(200).selectExpr("id", "concat('u', id) AS file_path", "10L AS file_size", "1L AS file_last_modified"), paths.photos, "id")
+    for p in (paths.analyses, paths.faces):
+        paths.write(spark.range(200).withColumnRenamed("id", "photo_id"), p, "photo_id")
+    before = {f.parent.name: f.stat().st_mtime_ns for f in (tmp_path / "photos").glob("bucket=*/part-*")}
+    sync.sync(spark.createDataFrame([(7, "u7", 11, 2)], cols), None, paths)
+    after = {f.parent.name: f.stat().st_mtime_ns for f in (tmp_path / "photos").glob("bucket=*/part-*")}
+    assert sum(before.get(k) != v for k, v in after.items()) == 1 and len(after) == 8
+    assert paths.read(spark, paths.photos).count() == 200 and paths.read(spark, paths.faces).count() == 199
 
 
 def test_stream(spark, tmp_path):
