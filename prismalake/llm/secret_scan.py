@@ -46,6 +46,8 @@ LINES = re.compile(r"[|>][+\-]?[ \t]*\n(?P<lines>(?:[ \t]+[^\s].*(?:\n|\Z))+)")
 #: Elements, and calls that set something.
 ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.:\-]*)(?:[ \t][^<>]*)?>(?P<value>[^<>]+)</(?P=name)[ \t]*>")
 CALL = re.compile(rf"(?<![A-Za-z0-9_])(?:set|with|use)_?(?P<name>[A-Za-z_][A-Za-z0-9_]*)\([ \t]*(?P<value>{_STRING})", re.S)
+#: White space and a mark of comments at the beginning of a line.
+MARGIN = re.compile(r"([ \t]*)(#|//|--|/?\*|%|REM\b)?")
 #: The end of an unquoted value, and what may follow it if white space may be inside.
 STOP = re.compile(r"[\s;,]|$")
 TAIL = re.compile(r"[ \t]*(?:[;,\r\n#]|$)")
@@ -133,7 +135,25 @@ def inner(text: str, start: int, end: int) -> tuple[int, int]:
     return start + n, end - n
 
 
-def quoted(text: str, at: int, known: dict[str, Constant]) -> tuple[list[Constant], int]:
+class Names:
+    """Constants by name and indentation: what stands further in than a use may be out of scope, or not, so both count."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, list[tuple[int, Constant]]] = {}
+
+    def put(self, name: str, indent: int, value: Constant | None) -> None:
+        """A new value; None forgets the old one. Values further in are forgotten as well."""
+        left = [x for x in self.at.get(name, ()) if x[0] < indent]
+        self.at[name] = left if value is None else [*left, (indent, value)]
+
+    def get(self, name: str, indent: int) -> list[Constant]:
+        """The value in scope first, then those further in."""
+        found = self.at.get(name, ())
+        near = [c for i, c in found if i <= indent]
+        return near[-1:] + [c for i, c in found if i > indent]
+
+
+def quoted(text: str, at: int, known: Names, indent: int) -> tuple[list[Constant], int]:
     """The values behind an operator, of literals and known names; none if it is neither."""
     if m := GROUP.match(text, at):
         values, last = [Constant()], None
@@ -151,15 +171,24 @@ def quoted(text: str, at: int, known: dict[str, Constant]) -> tuple[list[Constan
         return [value], m.end()
     m, value = RHS.match(text, at), Constant()
     if m:
-        for t in TERM.finditer(text, at, m.end()):
+        terms = list(TERM.finditer(text, at, m.end()))
+        for t in terms:
             word = t.group()
             if word[-1] in "\"'`":
                 value.literal(text, *inner(text, t.start(), t.end()))
-            elif word.strip("${}") in known:
-                value.use(known[word.strip("${}")])
+            elif found := known.get(word.strip("${}"), indent):
+                if len(terms) == 1:
+                    return found, m.end()
+                value.use(found[0])
     return ([value], m.end()) if value.spans or value.uses else ([], at)
 
 
+def margin(text: str, line: int) -> tuple[int, bool]:
+    """Columns of white space that a line begins with, and whether it is a comment."""
+    m = MARGIN.match(text, line)
+    return len(m[1].expandtabs()), m[2] is not None
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that the lexer takes for secrets.
 
@@ -168,11 +197,12 @@ def lexed(text: str) -> list[tuple[int, int]]:
     unquoted values, up to white space, ; or , behind a tight ``=``, otherwise
     up to the end of the line, ; , or a comment. A value with white space inside
     must be quoted, and hold digits and letters. Comments are read like code, as
-    a secret in a comment is one; names have no scopes, the last assignment in
-    front of a use counts.
+    a secret in a comment is one, but give names no values. The last assignment
+    in front of a use counts, and those further in (see ``Names``).
     """
-    known: dict[str, Constant] = {}
+    known = Names()
     out: set[tuple[int, int]] = set()
+    seen, indent, remark = 0, *margin(text, 0)
 
     def assign(names: list[str], values: list[Constant]) -> None:
         whole = values[0]
@@ -180,7 +210,8 @@ def lexed(text: str) -> list[tuple[int, int]]:
             whole = Constant()
             for v in values:
                 whole.use(v)
-        known.update(dict.fromkeys(names, whole))
+        for name in () if remark else names:
+            known.put(name, indent, whole)
         worth = max(map(name_score, names))
         if worth >= THRESHOLD:
             for v in values:
@@ -200,7 +231,10 @@ def lexed(text: str) -> list[tuple[int, int]]:
         while link := LINK.match(text, heads[-1][1]):
             heads.append((link["name"], link.end(), text[link.end() - 1] == "=" and not link["gap"]))
         at = heads[-1][1]
-        values, end = quoted(text, at, known)
+        line, seen = text.rfind("\n", seen, m.start()) + 1, m.start()
+        if line:
+            indent, remark = margin(text, line)
+        values, end = quoted(text, at, known, indent)
         if values:
             at = end
             assign([name for name, _, _ in heads], values)
@@ -223,9 +257,9 @@ def lexed(text: str) -> list[tuple[int, int]]:
                 value.literal(text, start, end)
                 assign(names, [value])
                 over, gone = stop, stop if value.listed else gone
-            else:
+            elif not remark:
                 for x in names:
-                    known.pop(x, None)
+                    known.put(x, indent, None)
             break
     if "</" in text:
         for m in ELEMENT.finditer(text):
