@@ -360,7 +360,7 @@ def contract(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents, all columns, with ``text`` cut and ``removed`` array<struct<start,end>> of original offsets.
+    """The documents, all columns, with ``text`` cut and ``removed`` array<struct<start,end>> of original offsets (in place of a column of that name).
 
     Null and empty texts and texts without repeats stay as they are with an
     empty ``removed``; rows that repeat id and text are cut alike; null ids are
@@ -374,8 +374,9 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         with np.errstate(over="ignore"):
             return s.map(lambda t: text_key(t) if isinstance(t, str) and t else None).astype("Int64")
 
-    keyed = docs.withColumn("__key", key_of(F.col("text").cast("string")))
-    got = keyed.join(spans.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), "removed"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
+    texts = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    keyed = texts.withColumn("k", key_of("text"))
+    got = keyed.join(spans.select(F.col("doc_id").alias("i"), "key", "removed"), F.col("id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("key")), "left")
     # what stays lies between the end of one run and the start of the next
     removed = F.coalesce("removed", F.array().cast(kind))
     stays = F.zip_with(
@@ -383,4 +384,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.concat(F.transform(removed, lambda s: s.start), F.array(F.char_length("text").cast("long"))),
         lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")),
     )
-    return got.withColumn("text", F.when(F.size(removed) > 0, F.array_join(stays, "")).otherwise(F.col("text"))).withColumn("removed", removed).drop("__key", "__id", "__k")
+    out = got.select("row", F.when(F.size(removed) > 0, F.array_join(stays, "")).otherwise(F.col("text")).alias("text"), removed.alias("removed"))
+    return out.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "removed"), "removed")

@@ -313,7 +313,7 @@ def _learn_near(words: DataFrame, lexicon: Lexicon) -> None:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` and ``score`` (0 to 1) of every row; narrow.
+    """Columns ``keep`` (none of them called score) and ``score`` (0 to 1) of every row; narrow.
 
     Null, empty and wordless texts score low, very long texts are scored whole,
     repeated rows score alike, an empty table gives no rows.
@@ -355,5 +355,12 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
     Repeated rows stay or go together; without labels every document stays; an
     empty table stays empty; columns keep their names.
     """
-    got = score(docs, train(docs, labels), tuple(docs.columns))
-    return got.filter(F.col("score") < threshold).drop("score")
+    small_batches(docs.sparkSession)
+    sent, at = train(docs, labels).to_json(), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Matcher(Lexicon.from_json(sent))
+        for b in batches:
+            yield b.filter(pa.array([m.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,9 @@ def documents(spark):
 
 
 def clash(df):
-    for c in ("id", "w", "b", "i", "key", "size", "cls", "comp", "token", "seed", "payload", "digest", "__x"):
+    names = """id w b i key size cls comp token seed payload digest __x score removed __id __key __k __hit __gone __text __page text_key rep lead unit side hashes no_id
+        start end n n_words place span earlier ordinal f k d t s u h of first again first_doc position target taken bucket segments area spans media kind held_out predicted"""
+    for c in names.split():
         df = df.withColumn(c, F.lit("x"))
     return df
 
