@@ -20,7 +20,7 @@ from ..shared import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch, whatever the number and length of its texts; one longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -263,7 +263,7 @@ def test_batches_are_bounded_for_every_plan(spark):
     warc_bundles.contract(messy.pages(spark))
     secret_scan.contract(messy.documents(spark))
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
-    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
 
 
 def test_small_payloads_are_never_revisits(spark):
@@ -713,7 +713,8 @@ Q = "u8Xk29QqLm4z"
         (f'A = "{Q}"; A = foo\npwd = A', []), (f'A = "{Q}"\nA = foo()\npwd = A', []), (f'A = "x"\nA = "{Q}"\npwd = A', [Q]), (f"<password>{Q}</password>", [Q]), ("<password>enter it here</password>", []),
         (f'pwd = "u8Xk" "{Q}"', ["u8Xk", Q]), (f'pwd = f"{{A}}{Q}"', [f"{{A}}{Q}"]), (f'pwd = b"{Q}"', [Q]), (f'pwd <- "{Q}"', [Q]), (f"PWD: |\n  {Q}\n  {Q[::-1]}\nnext: 1", [Q, Q[::-1]]),
         (f'd["pwd"] = "{Q}"', [Q]), (f"pwd := `{Q}`", [Q]), (f'conn.setPassword("{Q}")', [Q]), (f'"pwd": ["{Q}", "{Q[::-1]}"]', [Q, Q[::-1]]), ('pwd = ("u8Xk29"\n  "QqLm4z11")', ["u8Xk29", "QqLm4z11"]),
-        (f'pwd = A +\n "{Q}"', [Q]), (f'# pwd = "{Q}"', [Q]), (f'pwd="""{Q}', []), (f'if pwd == "{Q}":', []),
+        (f'pwd = A +\n "{Q}"', [Q]), (f'# pwd = "{Q}"', [Q]), (f"A = '{Q}'\ndef f():\n    A = 'harmless words'\npwd = A", [Q]), (f"if x:\n    A = '{Q}'\npwd = A", [Q]), (f"A = '{Q}'\n# A = foo\npwd = A", [Q]),
+        (f"def f():\n\tA = '{Q}'\nA = 'x'\npwd = A", []), (f"A = '{Q}'\ndef f():\n    A = g()\n    pwd = A\n", [Q]), (f'pwd="""{Q}', []), (f'if pwd == "{Q}":', []),
     ],
 )
 def test_lexer_reads_code(t, want):
