@@ -370,3 +370,41 @@ def test_zero_sizes_do_not_divide(spark):
     marks = F.array(*[z] * 10)
     got = rows.select(kind.alias("k"), fc.yaw_proxy(marks).alias("y"), fc.pitch_proxy(marks).alias("p"), fc.box_aspect(z, z, z, z).alias("a"), fc.iou_columns((z, z, z, z), (z, z, z, z)).alias("i"), fc.embed_source_size(z, F.lit(1024), F.lit(768), F.lit(112), F.lit(3072)).alias("s"))
     assert {tuple(r) for r in got.collect()} == {(0, 0.0, 0.0, 0.0, 0.0, 1024)}
+
+
+def many_faces(spark, n=2001, named=False):
+    """More faces than one export of the app takes; vectors of two sizes, missing ones and one with a hole."""
+    vector = lambda k: None if k % 501 == 7 else [0.5, None] if k == 11 else [k / 7] if k % 400 == 3 else [k / 3, 1.0 - k]
+    rows = [(5 * k, None if k % 97 == 1 else k % 4, vector(k)) for k in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, person_id long, embedding array<float>").repartition(3)
+
+
+def plain_pair(a, b):
+    """What one pair of rows (id, person, vector) gives."""
+    x, y = a[2], b[2]
+    ok = x is not None and y is not None and len(x) == len(y) and None not in x + y
+    sim = float(sum(np.float64(np.float32(p)) * np.float64(np.float32(q)) for p, q in zip(x, y, strict=True))) if ok else None
+    return a[0], b[0], a[1], b[1], None if a[1] is None or b[1] is None else a[1] == b[1], sim
+
+
+def test_face_pairs_of_any_number(spark, monkeypatch):
+    """2,001 faces, which were refused, in pieces: all pairs, and the values of some."""
+    monkeypatch.setattr(people, "PIECE", 300)
+    rows, faces = many_faces(spark)
+    got = people.face_pairs(faces)
+    n = len(rows)
+    assert got.count() == got.select("face_a", "face_b").distinct().count() == n * (n - 1) // 2
+    some = rows[:20] + rows[400:412] + rows[-10:]
+    want = {(a[0], b[0]): plain_pair(a, b) for i, a in enumerate(some) for b in some[i + 1 :]}
+    ids = [r[0] for r in some]
+    found = got.filter(got.face_a.isin(ids) & got.face_b.isin(ids)).select("face_a", "face_b", "person_a", "person_b", "same_person", "similarity").collect()
+    assert len(found) == len(want)
+    for r in found:
+        assert tuple(r)[:5] == want[r.face_a, r.face_b][:5]
+        sim = want[r.face_a, r.face_b][5]
+        assert r.similarity is None if sim is None else r.similarity == pytest.approx(sim, rel=1e-12)
+
+
+def test_few_faces_have_no_pairs(spark):
+    for n in (0, 1):
+        assert people.face_pairs(many_faces(spark, n)[1]).collect() == []
