@@ -450,7 +450,7 @@ register(
        a.person_id AS person_a, b.person_id AS person_b, p.name AS name_a, q.name AS name_b FROM faces a JOIN faces b ON a.id < b.id JOIN persons p ON p.id = a.person_id JOIN persons q ON q.id = b.person_id""",
     "faces persons",
 )
-register("pairwise_faces", lambda g: people.face_pairs(g.faces).select("face_a", "face_b"), "SELECT a.id AS face_a, b.id AS face_b FROM faces a JOIN faces b ON a.id < b.id", "faces")
+register("pairwise_faces", lambda g: people.id_pairs(g.faces), "SELECT a.id AS face_a, b.id AS face_b FROM faces a JOIN faces b ON a.id < b.id", "faces")
 
 
 def detections(g):

@@ -408,3 +408,10 @@ def test_face_pairs_of_any_number(spark, monkeypatch):
 def test_few_faces_have_no_pairs(spark):
     for n in (0, 1):
         assert people.face_pairs(many_faces(spark, n)[1]).collect() == []
+
+
+def test_id_pairs_of_any_number(spark):
+    rows, faces = many_faces(spark)
+    got, n = people.id_pairs(faces), len(rows)
+    assert got.filter("face_a < face_b").distinct().count() == got.count() == n * (n - 1) // 2
+    assert people.id_pairs(faces.limit(1)).count() == 0
