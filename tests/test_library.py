@@ -415,3 +415,22 @@ def test_id_pairs_of_any_number(spark):
     got, n = people.id_pairs(faces), len(rows)
     assert got.filter("face_a < face_b").distinct().count() == got.count() == n * (n - 1) // 2
     assert people.id_pairs(faces.limit(1)).count() == 0
+
+
+def test_export_of_any_number_of_pairs(spark, tmp_path):
+    """2,001 faces, which were refused; names that are quoted, missing, or of nobody."""
+    from prismalake.sources import exports
+
+    rows, faces = many_faces(spark)
+    names = {0: 'A, "B"', 1: None, 2: "C"}
+    exports.export_face_pairs(faces, spark.createDataFrame(list(names.items()), "id long, name string"), str(tmp_path / "pairs"))
+    got, n = spark.read.csv(str(tmp_path / "pairs"), header=True, escape="\\"), len(rows)
+    assert got.columns == "same_person similarity face_a face_b person_a person_b name_a name_b".split()
+    assert got.select("face_a", "face_b").distinct().count() == got.count() == n * (n - 1) // 2
+    some = rows[:12]
+    for a, b in zip(some, some[1:], strict=False):
+        r = got.filter((got.face_a == a[0]) & (got.face_b == b[0])).first()
+        _, _, p, q, same, sim = plain_pair(a, b)
+        assert (r.same_person, r.person_a, r.person_b) == (str(int(bool(same))), p if p is None else str(p), q if q is None else str(q))
+        assert (r.name_a, r.name_b) == (names.get(p), names.get(q))
+        assert (r.similarity is None) == (sim is None) and (sim is None or float(r.similarity) == pytest.approx(sim, rel=1e-12))
