@@ -27,6 +27,8 @@ def escape_like(text: str) -> str:
 
 def normalize_text(text: str) -> str:
     """Lower case without diacritics; the two French ligatures are spelled out."""
+    if text.isascii():
+        return text.lower()
     bare = (c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
     return "".join({"œ": "oe", "æ": "ae"}.get(c, c) for c in bare)
 

@@ -18,8 +18,8 @@ EPOCH = date(1970, 1, 1).toordinal()
 
 
 def over(view: str, columns: str, one: Callable[..., tuple], schema: str) -> Callable:
-    """A query that applies ``one`` to the columns of each row of a view."""
-    return lambda g: map_rows(g.view(view).select(*columns.split()), lambda: one, schema)
+    """A query that applies ``one`` to the columns of each row of a view; rows are dealt out, as a file may be one task."""
+    return lambda g: map_rows(g.view(view).select(*columns.split()).repartition(*columns.split()), lambda: one, schema)
 
 
 def documents(g) -> DataFrame:
@@ -109,14 +109,14 @@ register(
     "SELECT id, CASE WHEN n % 5 = 0 THEN 'photo with ' || replace(name, '_', ' ') || ' 2020' ELSE 'photo 2020' END AS rest, CASE WHEN n % 5 <> 0 THEN n END AS person FROM asked_words",
     "asked_words",
 )
-CITIES = [qp.City(f"Ville {k}", float(k), -float(k), (n,)) for k, n in enumerate(NATIONS)]
+CITIES = qp.city_phrases(qp.City(f"Ville {k}", float(k), -float(k), (n,)) for k, n in enumerate(NATIONS))
 register(
     "extract_city",
     over("asked_words", "id lead name", lambda i, lead, name: (lambda p: (i, p.text, p.place and p.place.label, p.place and p.place.latitude, p.place and p.place.negated))(qp.parse(asked(lead, name), TODAY, CITIES)), "id long, rest string, city string, latitude double, negated boolean"),
     "SELECT id, 'chien plage' AS rest, 'Ville ' || CAST(n AS VARCHAR) AS city, CAST(n AS DOUBLE) AS latitude, negated FROM asked_words",
     "asked_words",
 )
-COUNTRIES = [qp.Country(chr(65 + k) + "X", (n,)) for k, n in enumerate(NATIONS)]
+COUNTRIES = qp.country_phrases(qp.Country(chr(65 + k) + "X", (n,)) for k, n in enumerate(NATIONS))
 register(
     "extract_country",
     over("asked_words", "id lead name", lambda i, lead, name: (lambda p: (i, p.text, p.country and p.country.code, p.country and p.country.negated))(qp.parse(asked(lead, name), TODAY, countries=COUNTRIES)), "id long, rest string, code string, negated boolean"),

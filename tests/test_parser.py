@@ -87,3 +87,36 @@ def test_article_counts_as_preposition():
 
 def test_empty():
     assert p("  ").text == "" and not p("").filtered
+
+
+def test_a_query_costs_its_own_words(monkeypatch):
+    """Names are read once, not for every query."""
+    from prismalake.plans import query_parser as qp
+
+    calls = []
+    monkeypatch.setattr(qp, "normalize_text", lambda t, f=qp.normalize_text: calls.append(t) or f(t))
+    places = qp.city_phrases(City(f"Ville {k}", float(k), 0.0, (f"Old {k}",)) for k in range(1000))
+    calls.clear()
+    for k in range(20):
+        got = parse(f"chat pas à ville {k} soir", TODAY, places)
+        assert (got.place.label, got.place.negated, got.place.source, got.text) == (f"Ville {k}", True, f"pas à ville {k}", "chat soir")
+    assert len(calls) == 20 * 6
+
+
+def test_phrases_as_one_by_one():
+    """Longest first, then as given, at the first place: the same as trying every phrase in turn."""
+    import random
+
+    from prismalake.plans.query_parser import Phrases, _longest_first, _Query
+
+    rng = random.Random(5)
+    for _ in range(500):
+        given = [([rng.choice("uvwx") for _ in range(rng.randint(0, 3))], k) for k in range(rng.randint(0, 8))]
+        text = " ".join(rng.choice(["u", "v", "w", "x", "not", "in"]) for _ in range(rng.randint(0, 7)))
+        a, b, want = _Query(text), _Query(text), None
+        for phrase, what in _longest_first(given):
+            at = a.find(phrase)
+            if at is not None:
+                want = (what, *a.take(at, len(phrase)))
+                break
+        assert (Phrases(given).first(b), b.words) == (want, a.words)
