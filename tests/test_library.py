@@ -434,3 +434,50 @@ def test_export_of_any_number_of_pairs(spark, tmp_path):
         assert (r.same_person, r.person_a, r.person_b) == (str(int(bool(same))), p if p is None else str(p), q if q is None else str(q))
         assert (r.name_a, r.name_b) == (names.get(p), names.get(q))
         assert (r.similarity is None) == (sim is None) and (sim is None or float(r.similarity) == pytest.approx(sim, rel=1e-12))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_of_faces_as_one_by_one(seed, monkeypatch):
+    """Copies, opposites, holes, zeros, infinities, two dimensions, photos over several blocks: bit for bit the plain pass."""
+    import pyarrow as pa
+
+    from prismalake.plans import faces as pf
+
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(pf, "BLOCK", 7)
+    mixed = seed % 2  # else new persons come to ids that exist
+    base = [rng.normal(size=d) for d in ((4, 4, 4, 3, 3) if mixed else (4,) * 5)]
+    base = [v / np.linalg.norm(v) for v in base] + [np.zeros(4), np.array([np.nan, 1, 0, 0]), np.array([np.inf, 1, 0, 0])][: 2 + (seed > 2)]
+    pick = lambda: base[rng.integers(len(base))] * rng.choice([1, 1, 1, -1]) + (rng.normal(size=1) * 0.2 if rng.random() < 0.5 else 0)
+    photos = np.sort(rng.choice([1, 2, 3, *range(4, 60)], 300, p=[0.2, 0.1, 0.1, *[0.6 / 56] * 56]))
+    rows = [{"id": k, "photo_id": int(p), "embedding": pick().astype(np.float32), "quality": float(rng.choice([0.1, 0.5, 0.9])), "weight": float(rng.choice([1.0, 1.5]))} for k, p in enumerate(photos)]
+    start = lambda: State({1: base[0] * 2, 2: base[3]}, {2, 7}, {7: base[1], 8: base[1], 9: base[4]})
+    with np.errstate(all="ignore"):
+        want, at, now = [], 20 if mixed else 5, start()
+        for photo in np.unique(photos):
+            part = [r for r in rows if r["photo_id"] == photo]
+            got, at = assign_photo(now, part, next_id=at)
+            want += got
+        batch = pa.RecordBatch.from_pydict({"embedding": pa.array([r["embedding"].tolist() for r in rows], pa.list_(pa.float32())), **{c: [r[c] for r in rows] for c in ("id", "photo_id", "quality", "weight")}})
+        walk, got = pf._Pass(start(), False, 20 if mixed else 5), []
+        while len(got) < len(rows):
+            got += walk.block(batch.slice(len(got), walk.size())).to_pylist()
+    of = lambda x: (x["person_id"], x["assignment_type"], x["exclusion_reason"], repr(x["similarity"]))
+    assert [of(g) for g in got] == [of(w) for w in want]
+
+
+def test_many_faces_of_many_people(monkeypatch):
+    """A face costs one look at the centroids' products, not a Python step a centroid."""
+    import pyarrow as pa
+
+    from prismalake.plans import faces as pf
+
+    n, asked = 4000, []
+    monkeypatch.setattr(State, "centroid", lambda self, p, f=State.centroid: asked.append(p) or f(self, p))
+    vectors = np.random.default_rng(1).normal(size=(n, 64)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    walk, k = pf._Pass(State(), False, 1), 0
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(n), "photo_id": np.arange(n), "embedding": pa.ListArray.from_arrays(np.arange(0, 64 * n + 1, 64, dtype=np.int32), vectors.ravel()), "quality": np.ones(n), "weight": np.ones(n)})
+    while k < n:
+        k += walk.block(batch.slice(k, walk.size())).num_rows
+    assert len(asked) < n and len(walk.dims) > 1000
