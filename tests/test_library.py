@@ -481,3 +481,14 @@ def test_many_faces_of_many_people(monkeypatch):
     while k < n:
         k += walk.block(batch.slice(k, walk.size())).num_rows
     assert len(asked) < n and len(walk.dims) > 1000
+
+
+def test_faces_without_a_photo_are_kept(spark):
+    """Each is a photo of its own, so that two of them may be one person; a face without a vector is told."""
+    from prismalake.plans.faces import assign_new_faces
+
+    cols = "id long, photo_id long, embedding array<float>, quality double, weight double"
+    faces = spark.createDataFrame([(1, None, [1.0, 0.0], 0.9, 1.0), (2, None, [1.0, 0.0], 0.9, 1.0), (3, 5, [0.0, 1.0], 0.9, 1.0)], cols)
+    assert {r.id: r.person_id for r in assign_new_faces(faces, State()).collect()} == {1: 1, 2: 1, 3: 2}
+    with pytest.raises(Exception, match="face 4 has no embedding"):
+        assign_new_faces(spark.createDataFrame([(4, 5, None, 0.9, 1.0)], cols), State()).collect()
