@@ -436,6 +436,22 @@ def test_export_of_any_number_of_pairs(spark, tmp_path):
         assert (r.similarity is None) == (sim is None) and (sim is None or float(r.similarity) == pytest.approx(sim, rel=1e-12))
 
 
+def test_exported_pairs_take_little_disk(spark, tmp_path):
+    """All pairs in under a third of the bytes of their text, and the same text."""
+    import gzip
+
+    from prismalake.sources import exports
+
+    rows, faces = many_faces(spark, 300)
+    persons = spark.createDataFrame([(0, 'A, "B"'), (1, None), (2, "C")], "id long, name string")
+    exports.export_face_pairs(faces, persons, str(tmp_path / "small"))
+    exports.export_face_pairs(faces, persons, str(tmp_path / "plain"), compression="none")
+    small, plain = ([p for p in (tmp_path / d).iterdir() if p.name.startswith("part-")] for d in ("small", "plain"))
+    assert sum(p.stat().st_size for p in small) * 3 < sum(p.stat().st_size for p in plain)
+    lines = [sorted(x for t in texts for x in t.splitlines() if not x.startswith(b'"same_person"')) for texts in ([gzip.decompress(p.read_bytes()) for p in small], [p.read_bytes() for p in plain])]
+    assert lines[0] == lines[1] and len(lines[0]) == len(rows) * (len(rows) - 1) // 2
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_blocks_of_faces_as_one_by_one(seed, monkeypatch):
     """Copies, opposites, holes, zeros, infinities, two dimensions, photos over several blocks: bit for bit the plain pass."""
