@@ -405,6 +405,17 @@ def test_face_pairs_of_any_number(spark, monkeypatch):
         assert r.similarity is None if sim is None else r.similarity == pytest.approx(sim, rel=1e-12)
 
 
+def test_stored_pairs_take_little_more_than_similarities(spark, tmp_path):
+    """Eight bytes are the similarity; ids and the mark of 1,124,250 pairs take less than half of one, and every pair is there once."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(1500, 8)) / 3
+    faces = spark.createDataFrame([(k, int(p), v.tolist()) for k, (p, v) in enumerate(zip(rng.integers(0, 10, 1500), vectors, strict=True))], "id long, person_id long, embedding array<float>")
+    people.face_pairs(faces).select("face_a", "face_b", "same_person", F.round("similarity", 6).alias("similarity")).write.parquet(str(tmp_path / "pairs"))
+    got, n = spark.read.parquet(str(tmp_path / "pairs")), 1500 * 1499 // 2
+    assert got.filter("face_a < face_b").select("face_a", "face_b").distinct().count() == got.count() == n
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("part-*")) < 8.5 * n
+
+
 def test_few_faces_have_no_pairs(spark):
     for n in (0, 1):
         assert people.face_pairs(many_faces(spark, n)[1]).collect() == []
